@@ -32,10 +32,10 @@ def missing_count(name: str, dtype: T.DataType, zero_is_missing: bool = False) -
 def round_half_up(value: Column, digits: int) -> Column:
     """Round half away from zero.
 
-    A double is first brought to eight digits, so that a mean such as 1.0149999999999999 rounds
+    A double is first brought to six more digits, so that a mean such as 1.0149999999999999 rounds
     like the 1.015 it stands for.
     """
-    return F.round(F.round(value, max(8, digits)), digits)
+    return F.round(F.round(value, digits + 6), digits)
 
 
 def store_as(value: Column, dtype: T.DataType) -> Column:
