@@ -12,11 +12,11 @@ from panelweave.functions.scalars import blank_as_null, ratio, round_half_up
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename several columns; a name freed here may be used again later."""
+    """Rename several columns at once, so that one may take a name that another gives up."""
     absent = [c for c in names if c not in df.columns]
     if absent:
         raise ValueError(f"no such column: {absent}")
-    return df.withColumnsRenamed(dict(names))
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
 def blank_to_null(df: DataFrame, columns: Sequence[str], trim: bool = False) -> DataFrame:
