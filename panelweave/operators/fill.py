@@ -153,8 +153,7 @@ def fill_mean_cascade(
     """Fill gaps with the entity's mean, or the group's mean for the period if it has no value."""
     if means is None:
         means = group_means(df, group, period, measures)
-    out = split_heavy(df, [entity], []) if split else df
-    out = with_group_values(out, [entity], {f"_own_{m}": F.avg(m) for m in measures})
+    out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in measures}, split)
     out = _with_means(out, means, group, period, measures)
     filled = {
         m: F.coalesce(
@@ -164,8 +163,7 @@ def fill_mean_cascade(
         for m in measures
     }
     out = out.withColumns(filled)
-    out = out.drop(*[f"_own_{m}" for m in measures], *[f"_mean_{m}" for m in measures])
-    return out if is_split(df) else unsplit(out)
+    return out.drop(*[f"_own_{m}" for m in measures], *[f"_mean_{m}" for m in measures])
 
 
 def _with_means(

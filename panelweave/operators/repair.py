@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import in_range, round_half_up, store_as
-from panelweave.operators.spread import is_split, split_heavy, unsplit, with_group_values
+from panelweave.operators.spread import with_group_values
 
 
 def dedupe_keyed(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -32,15 +32,13 @@ def replace_low_outliers(
 
     The mean includes the outliers. All measures are judged on the values before any replacement.
     """
-    out = split_heavy(df, [entity], []) if split else df
-    out = with_group_values(out, [entity], {f"_own_{m}": F.avg(m) for m in digits})
+    out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in digits}, split)
     repaired = {}
     for m, places in digits.items():
         mean = F.col(f"_own_{m}")
         replacement = store_as(round_half_up(mean, places), df.schema[m].dataType)
         repaired[m] = F.when(F.col(m) < mean / divisor, replacement).otherwise(F.col(m))
-    out = out.withColumns(repaired).drop(*[f"_own_{m}" for m in digits])
-    return out if is_split(df) else unsplit(out)
+    return out.withColumns(repaired).drop(*[f"_own_{m}" for m in digits])
 
 
 def replace_out_of_range(
@@ -53,16 +51,14 @@ def replace_out_of_range(
 
     An entity without a value inside the range keeps its values; NULL stays NULL.
     """
-    out = split_heavy(df, [entity], []) if split else df
     inside = {
         f"_in_{m}": F.avg(F.when(in_range(F.col(m), lo, hi), F.col(m)))
         for m, (lo, hi) in ranges.items()
     }
-    out = with_group_values(out, [entity], inside)
+    out = with_group_values(df, [entity], inside, split)
     repaired = {}
     for m, (lo, hi) in ranges.items():
         mean = store_as(F.col(f"_in_{m}"), df.schema[m].dataType)
         outside = ~in_range(F.col(m), lo, hi) & mean.isNotNull()
         repaired[m] = F.when(outside, mean).otherwise(F.col(m))
-    out = out.withColumns(repaired).drop(*inside)
-    return out if is_split(df) else unsplit(out)
+    return out.withColumns(repaired).drop(*inside)

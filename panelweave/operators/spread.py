@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.sources.workspace import pin
 
@@ -21,8 +22,9 @@ HALO = "_halo"
 
 ROWS_PER_CHUNK = 2_000_000
 # At most this many heavy entities and, within a factor of two, chunks: what is broadcast below
-# holds a few rows per chunk, so its size has a fixed bound whatever the size of the input.
-MAX_CHUNKS = 10_000
+# holds one row per heavy entity or chunk, so its size has a fixed bound (tens of megabytes)
+# whatever the size of the input. Beyond 4e11 rows the chunks grow instead.
+MAX_CHUNKS = 200_000
 
 
 def rows_per_chunk(spark: SparkSession) -> int:
@@ -47,32 +49,39 @@ def null_safe_join(
 def split_heavy(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Cut groups of ``by`` with too many rows into ranges of ``order``; others stay whole.
 
-    ``order`` should be unique within the group, else rows with equal order stay together; it may
-    be empty if the order is of no interest. Runs one counting job. ``df`` comes back unchanged if no group is heavy. Otherwise the heavy
-    groups' rows are written once, because every later read must see the same ranges.
-    Names in ``order`` may be prefixed with ``-`` for descending.
+    ``order`` should be unique within the group, else rows with equal order stay together; names in
+    it may be prefixed with ``-`` for descending. Runs one counting job. ``df`` comes back unchanged
+    if no group is heavy. Otherwise the heavy groups' rows are written once, because every later
+    read must see the same ranges.
     """
-    if CHUNK in df.columns:
+    if is_split(df):
         return df
+    heavy, limit = _heavy_groups(df, by)
+    if heavy is None:
+        return df
+    pieces = -(-heavy.agg(F.sum("_n")).first()[0] // limit)
+    hot, cold = _hot_and_cold(df, by, heavy)
+    hot = hot.repartitionByRange(pieces, *by, *ordering(order))
+    hot = pin(hot.withColumn(CHUNK, F.spark_partition_id() + 1), "chunks")
+    return hot if cold is None else cold.withColumn(CHUNK, F.lit(0)).unionByName(hot)
+
+
+def _heavy_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame | None, int]:
+    """Written table of the groups with too many rows, or None, and the limit they exceed."""
     sizes = _group_sizes(df, by)
     limit, largest = _limit_and_largest(df.sparkSession, sizes)
     if largest <= limit:
-        return df
+        return None, limit
+    return pin(sizes.filter(F.col("_n") > limit), "heavy"), limit
 
-    hot, cold, rows = df, None, largest
-    if by:
-        heavy = pin(sizes.filter(F.col("_n") > limit), "heavy")
-        rows = heavy.agg(F.sum("_n")).first()[0]
-        heavy = F.broadcast(heavy.drop("_n"))
-        hot = null_safe_join(df, heavy, by, "left_semi")
-        cold = null_safe_join(df, heavy, by, "left_anti")
-    pieces = -(-rows // limit)
-    if order:
-        hot = hot.repartitionByRange(pieces, *by, *ordering(order))
-    else:
-        hot = hot.repartition(pieces)
-    hot = pin(hot.withColumn(CHUNK, F.spark_partition_id() + 1), "chunks")
-    return hot if cold is None else cold.withColumn(CHUNK, F.lit(0)).unionByName(hot)
+
+def _hot_and_cold(
+    df: DataFrame, by: Sequence[str], heavy: DataFrame
+) -> tuple[DataFrame, DataFrame | None]:
+    if not by:
+        return df, None
+    keys = F.broadcast(heavy.drop("_n"))
+    return null_safe_join(df, keys, by, "left_semi"), null_safe_join(df, keys, by, "left_anti")
 
 
 def has_heavy_group(df: DataFrame, by: Sequence[str]) -> bool:
@@ -81,6 +90,16 @@ def has_heavy_group(df: DataFrame, by: Sequence[str]) -> bool:
     return largest > limit
 
 
+def span_fits(df: DataFrame, column: str) -> bool:
+    """Whether a whole-number ``column`` spans so few values that rows unique on a group and it
+    cannot make the group heavy. Reads one column and needs no shuffle by group."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        return False
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    # One more for NULL.
+    return low is None or high - low + 2 <= rows_per_chunk(df.sparkSession)
+
+
 def _group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -158,18 +177,31 @@ def without_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HALO) if HALO in df.columns else df
 
 
-def with_group_values(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def with_group_values(
+    df: DataFrame, by: Sequence[str], values: dict[str, Column], split: bool = False
+) -> DataFrame:
     """Attach plain aggregates over the whole group to each of its rows.
 
-    Split groups get theirs from a map-side combined aggregation with one row per heavy group.
+    A heavy group's come from a map-side combined aggregation with one row per heavy group. With
+    ``split``, heavy groups are looked for, and their rows get the values without being shuffled.
     """
-    window = group_window(df, by)
+
+    def in_window(rows):
+        window = group_window(rows, by)
+        return rows.withColumns({name: agg.over(window) for name, agg in values.items()})
+
+    def totals(hot, prefix=""):
+        aggregates = [agg.alias(prefix + name) for name, agg in values.items()]
+        return F.broadcast(hot.groupBy(*by).agg(*aggregates))
+
     if not is_split(df):
-        return df.withColumns({name: agg.over(window) for name, agg in values.items()})
+        heavy = _heavy_groups(df, by)[0] if split else None
+        if heavy is None:
+            return in_window(df)
+        hot, cold = _hot_and_cold(df, by, heavy)
+        return in_window(cold).unionByName(null_safe_join(hot, totals(hot), by))
     hot = without_halo(df.filter(F.col(CHUNK) > 0))
-    totals = hot.groupBy(*by).agg(*[agg.alias(f"_hot_{name}") for name, agg in values.items()])
-    df = df.withColumns({name: agg.over(window) for name, agg in values.items()})
-    df = null_safe_join(df, F.broadcast(totals), by, also=F.col(CHUNK) > 0)
+    df = null_safe_join(in_window(df), totals(hot, "_hot_"), by, also=F.col(CHUNK) > 0)
     for name in values:
         whole = F.when(F.col(CHUNK) > 0, F.col(f"_hot_{name}")).otherwise(F.col(name))
         df = df.withColumn(name, whole).drop(f"_hot_{name}")
@@ -198,13 +230,18 @@ def with_last_known(
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], totals: dict[str, Column]
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    totals: dict[str, Column],
+    split: bool = True,
 ) -> DataFrame:
     """Attach running sums up to and including each row; ``by`` may be empty.
 
     Rows must be unique on ``by`` + ``order``. The result keeps ``CHUNK`` if a group was split.
+    ``split=False`` says that no group is heavy.
     """
-    df = split_heavy(df, by, order)
+    df = split_heavy(df, by, order) if split else df
     window = group_window(df, by).orderBy(*ordering(order))
     window = window.rowsBetween(Window.unboundedPreceding, 0)
     running = df.withColumns({name: F.sum(term).over(window) for name, term in totals.items()})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import trend_label
-from panelweave.operators.spread import running_totals, unsplit, with_group_values
+from panelweave.operators.spread import running_totals, span_fits, unsplit, with_group_values
 
 
 def trend_slope(
@@ -34,7 +34,8 @@ def trend_slope(
             F.sum(value).alias("_sum"),
         )
     )
-    cells = running_totals(cells, [entity], [period], {"_upto": F.col("_rows")})
+    split = not span_fits(df, period)
+    cells = running_totals(cells, [entity], [period], {"_upto": F.col("_rows")}, split)
     rank = (F.col("_upto") - F.col("_rows") + 1).cast("double")
     weight = F.col("_known") if pairwise else F.col("_rows")
     cells = cells.withColumn("_x", rank).withColumn("_w", weight.cast("double"))

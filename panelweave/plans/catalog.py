@@ -43,6 +43,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*columns)
 
 
+def stored_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The customer-year panel, written first: most operators read their input more than once."""
+    return pin(customer_year(spark, folder), "customer-year")
+
+
+def stored_users(spark: SparkSession, folder: str) -> DataFrame:
+    return pin(user_day(spark, folder), "user-day")
+
+
 def text_panel(spark: SparkSession, folder: str) -> DataFrame:
     """The customer-year panel with its gaps as empty text."""
     panel = customer_year(spark, folder)
@@ -111,7 +120,7 @@ def distinct_categories(spark, folder):
 
 def apply_corrections(spark, folder):
     """Cells below a third of the customer's mean take the mean, by a join on the row key."""
-    panel = customer_year(spark, folder)
+    panel = stored_customers(spark, folder)
     means = panel.groupBy(ENTITY).agg(F.avg("m1").alias("mean"))
     fixes = panel.join(means, ENTITY).select(ID, "m1", "mean")
     updates = {"m1": round_half_up(F.col("fix_mean"), 2)}
@@ -150,19 +159,19 @@ def materialized_view(spark, folder):
 
 
 def fill_prev_category(spark, folder):
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     return rounded(ops.fill_previous_category(panel, ENTITY, PERIOD, "grp", ID))
 
 
 def fill_last_seen_category(spark, folder):
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     filled = ops.fill_previous_category(panel, ENTITY, PERIOD, "grp", ID, mode="last_seen")
     return rounded(filled)
 
 
 def _neighbours(rule: NeighbourRule) -> Query:
     def query(spark, folder):
-        panel = customer_year(spark, folder)
+        panel = stored_customers(spark, folder)
         rules = {"m1": rule, "m2": rule}
         return rounded(ops.fill_neighbours(panel, ENTITY, PERIOD, "seg", rules, ID))
 
@@ -171,7 +180,7 @@ def _neighbours(rule: NeighbourRule) -> Query:
 
 def fill_mean_cascade(spark, folder):
     """Users without a click-less day of their own take the group's mean of the day."""
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     sparse = panel.withColumn("m2", F.when(F.col(ENTITY) % 3 != 0, F.col("m2")))
     filled = ops.fill_mean_cascade(sparse, ENTITY, PERIOD, "seg", ["m1", "m2"])
     return rounded(filled)
@@ -185,7 +194,7 @@ def dedupe_keyed(spark, folder):
 
 
 def low_outliers(spark, folder):
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     return rounded(ops.replace_low_outliers(panel, ENTITY, {"m1": 2, "m2": 0}))
 
 
@@ -198,7 +207,7 @@ def low_outliers_lines(spark, folder):
 
 
 def out_of_range(spark, folder):
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     return rounded(ops.replace_out_of_range(panel, ENTITY, {"m1": (15, 40)}))
 
 
@@ -224,18 +233,18 @@ PANEL_SPEC = CleaningSpec(
 
 
 def clean_customer_panel(spark, folder):
-    return rounded(clean_panel(text_panel(spark, folder), PANEL_SPEC))
+    return rounded(clean_panel(pin(text_panel(spark, folder), "raw"), PANEL_SPEC))
 
 
 # Analysis
 
 
 def describe_by_entity(spark, folder):
-    return rounded(ops.describe_by_group(user_day(spark, folder), ENTITY, "m1"))
+    return rounded(ops.describe_by_group(stored_users(spark, folder), ENTITY, "m1"))
 
 
 def describe_null_ranks(spark, folder):
-    return rounded(ops.describe_by_group(user_day(spark, folder), ENTITY, "m1", nulls="first"))
+    return rounded(ops.describe_by_group(stored_users(spark, folder), ENTITY, "m1", nulls="first"))
 
 
 def describe_lines(spark, folder):
@@ -243,16 +252,16 @@ def describe_lines(spark, folder):
 
 
 def trend_slope(spark, folder):
-    return rounded(ops.trend_slope(customer_year(spark, folder), ENTITY, PERIOD, "m1"))
+    return rounded(ops.trend_slope(stored_customers(spark, folder), ENTITY, PERIOD, "m1"))
 
 
 def trend_slope_with_group(spark, folder):
-    panel = customer_year(spark, folder)
+    panel = stored_customers(spark, folder)
     return rounded(ops.trend_slope(panel, ENTITY, PERIOD, "m1", carry="grp"))
 
 
 def trend_slope_pairwise(spark, folder):
-    panel = customer_year(spark, folder)
+    panel = stored_customers(spark, folder)
     return rounded(ops.trend_slope(panel, ENTITY, PERIOD, "m1", pairwise=True))
 
 
@@ -274,11 +283,11 @@ def pearson_pairwise(spark, folder):
 
 
 def customer_tiers(panel: DataFrame) -> DataFrame:
-    return ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD)
+    return materialize(ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD))
 
 
 def pearson_by_tier(spark, folder):
-    panel = pin(customer_year(spark, folder), "panel")
+    panel = stored_customers(spark, folder)
     tiers = customer_tiers(panel).filter("tier IN ('high', 'low')").select(ENTITY, "tier")
     pairs = [("m1", "m2"), ("m1", PERIOD), ("m2", PERIOD)]
     return rounded(ops.pearson_by_group(panel.join(tiers, ENTITY), "tier", pairs))
@@ -294,20 +303,20 @@ def pareto_tiers_mean(spark, folder):
 
 
 def mean_by_tier(spark, folder):
-    panel = pin(customer_year(spark, folder), "panel")
+    panel = stored_customers(spark, folder)
     return rounded(ops.mean_by_tier(panel, customer_tiers(panel), ENTITY, "m1"))
 
 
 def mean_by_two_tiers(spark, folder):
-    panel = pin(customer_year(spark, folder), "panel")
-    first = ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier")
-    second = ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier")
+    panel = stored_customers(spark, folder)
+    first = materialize(ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier"))
+    second = materialize(ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier"))
     means = ops.mean_by_two_tiers(panel, first, second, ENTITY, "m1", "m1_tier", "m2_tier")
     return rounded(means)
 
 
 def rows_at_extremes(spark, folder):
-    panel = customer_year(spark, folder)
+    panel = stored_customers(spark, folder)
     return rounded(ops.rows_at_extremes(panel, "m2", [ENTITY, PERIOD, "m1", "m2"]))
 
 
@@ -317,7 +326,7 @@ def extreme_profile(spark, folder):
 
 
 def rolling_mean_warmup(spark, folder):
-    panel = user_day(spark, folder)
+    panel = stored_users(spark, folder)
     rolled = ops.rolling_mean(panel, ENTITY, PERIOD, "m1", key=ID)
     return rounded(rolled.select(ID, ENTITY, PERIOD, "moving_avg"))
 
@@ -356,13 +365,17 @@ def health_missing_gdp(spark, folder):
     return health.missing_gdp(health_staging(spark, folder))
 
 
+def stored_staging(spark: SparkSession, folder: str) -> DataFrame:
+    return pin(health_staging(spark, folder), "staging")
+
+
 def health_clean(spark, folder):
-    return rounded(health.clean_health_panel(health_staging(spark, folder)))
+    return rounded(health.clean_health_panel(stored_staging(spark, folder)))
 
 
 def clean_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """The cleaned health panel as a written table, which the questions read."""
-    return pin(health.clean_health_panel(health_staging(spark, folder)), "health")
+    return pin(health.clean_health_panel(stored_staging(spark, folder)), "health")
 
 
 def _question(ask: Callable[[DataFrame], DataFrame]) -> Query:

@@ -26,6 +26,7 @@ from panelweave.operators import (
     trend_slope,
 )
 from panelweave.plans.clean import CleaningSpec, Ratio, clean_panel, prepare_panel
+from panelweave.sources import materialize
 
 ENTITY, PERIOD, GROUP, KEY = "Country", "Year", "Status", "Row_ID"
 
@@ -152,9 +153,10 @@ def mortality_correlation(panel: DataFrame) -> DataFrame:
 
 
 def gdp_tiers(panel: DataFrame) -> DataFrame:
-    return pareto_tiers(
+    tiers = pareto_tiers(
         panel, ENTITY, "GDP", GDP_CUTS, period=PERIOD, out="GDP_tier", position=False
-    ).select(ENTITY, "GDP_tier")
+    )
+    return materialize(tiers.select(ENTITY, "GDP_tier"))
 
 
 def life_expectancy_by_gdp(panel: DataFrame) -> DataFrame:
@@ -162,11 +164,13 @@ def life_expectancy_by_gdp(panel: DataFrame) -> DataFrame:
 
 
 def measles_tiers(panel: DataFrame) -> DataFrame:
-    return pareto_tiers(panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier")
+    tiers = pareto_tiers(panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier")
+    return materialize(tiers)
 
 
 def polio_tiers(panel: DataFrame) -> DataFrame:
-    return pareto_tiers(panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier")
+    tiers = pareto_tiers(panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier")
+    return materialize(tiers)
 
 
 def life_expectancy_by_disease(panel: DataFrame) -> DataFrame:
