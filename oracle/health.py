@@ -4,9 +4,12 @@ from oracle.panel import (
     centred,
     corr_sql,
     describe_sql,
+    extreme_sql,
     half_up,
+    latest_sql,
     neighbour_case,
     neighbour_columns,
+    rolling_sql,
     slope_sql,
     tiers_ctes,
 )
@@ -68,9 +71,8 @@ def _around(m: str) -> str:
 
 
 def _mean_fill(m: str) -> str:
-    return f"""CASE WHEN {m} IS NOT NULL THEN {m}
-        WHEN COUNT({m}) OVER (PARTITION BY Country) > 0 THEN AVG({m}) OVER (PARTITION BY Country)
-        ELSE AVG({m}) OVER (PARTITION BY Status, Year) END AS {m}"""
+    return f"""COALESCE({m}, AVG({m}) OVER (PARTITION BY Country),
+        AVG({m}) OVER (PARTITION BY Status, Year)) AS {m}"""
 
 
 _MEAN_FILLED = (
@@ -162,13 +164,7 @@ WITH {CLEAN}, {_MEASLES} SELECT {_TIER_COLUMNS}, Measles_tier FROM measles""",
 WITH {CLEAN}, {_POLIO} SELECT {_TIER_COLUMNS}, Polio_tier FROM polio""",
     "health_life_expectancy_summary": describe_sql(CLEAN, "Country", "Lifeexpectancy", ranked=True),
     "health_life_expectancy_trend": slope_sql(CLEAN, "Country", "Year", "Lifeexpectancy", "Status"),
-    "health_latest_status_comparison": f"""
-WITH {CLEAN},
-means AS (SELECT DISTINCT Status, Year,
-          {half_up('AVG(CAST(Lifeexpectancy AS DOUBLE)) OVER (PARTITION BY Status, Year)', 0)} AS mean
-          FROM panel)
-SELECT DISTINCT Status, FIRST_VALUE(mean) OVER (PARTITION BY Status ORDER BY Year DESC) AS latest_average
-FROM means""",
+    "health_latest_status_comparison": latest_sql(CLEAN, "Status", "Year", "Lifeexpectancy"),
     "health_mortality_correlation": _corr("AdultMortality", "Lifeexpectancy"),
     "health_life_expectancy_by_gdp": f"""
 WITH {CLEAN}, {_GDP}
@@ -182,24 +178,17 @@ GROUP BY Polio_tier, Measles_tier""",
     "health_schooling_extremes": f"""
 WITH {CLEAN}
 SELECT Country, Schooling, CAST(Lifeexpectancy AS DOUBLE) AS Lifeexpectancy FROM panel
-WHERE Schooling = (SELECT MIN(Schooling) FROM panel) OR Schooling = (SELECT MAX(Schooling) FROM panel)""",
+QUALIFY Schooling IN (MIN(Schooling) OVER (), MAX(Schooling) OVER ())""",
     "health_bmi_trend": slope_sql(CLEAN, "Country", "Year", "BMI", None),
-    "health_child_deaths_at_extremes": f"""
-WITH {CLEAN},
-means AS (SELECT Country, CAST(AVG(Lifeexpectancy) AS DECIMAL(12,6)) AS mean FROM panel GROUP BY Country),
-top AS (SELECT Country, CASE WHEN mean = (SELECT MIN(mean) FROM means) THEN 'lowest_expectancy'
-                             ELSE 'highest_expectancy' END AS ranking
-        FROM means WHERE mean = (SELECT MIN(mean) FROM means) OR mean = (SELECT MAX(mean) FROM means))
-SELECT p.Country, ranking, ROUND(AVG(infantdeaths), 6) AS avg_infantdeaths,
-       ROUND(AVG(under_fivedeaths), 6) AS avg_under_fivedeaths
-FROM panel p JOIN top t ON p.Country = t.Country GROUP BY p.Country, ranking""",
+    "health_child_deaths_at_extremes": extreme_sql(
+        CLEAN,
+        "Country",
+        "CAST(AVG(Lifeexpectancy) AS DECIMAL(12,6))",
+        {"infantdeaths": "avg_infantdeaths", "under_fivedeaths": "avg_under_fivedeaths"},
+    ),
     "health_mortality_moving_average": f"""
 WITH {CLEAN}
-SELECT Country, Year,
-       ROUND(CASE WHEN Year < FIRST_VALUE(Year) OVER (PARTITION BY Country ORDER BY Year) + 4 THEN 0
-            ELSE AVG(AdultMortality) OVER (PARTITION BY Country ORDER BY Year ROWS 5 PRECEDING) END, 6)
-            AS moving_avg
-FROM panel""",
+SELECT Country, Year, {rolling_sql('AdultMortality', 'Country', 'Year', 'Year', 5, 4)} FROM panel""",
     "health_expenditure_correlation": _corr("percentageexpenditure", "Lifeexpectancy"),
     "health_bmi_correlations": _corr("BMI", "Lifeexpectancy", "AdultMortality"),
     "health_gdp_correlations": _corr("GDP", "Lifeexpectancy", "AdultMortality", "infantdeaths"),

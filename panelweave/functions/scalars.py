@@ -19,13 +19,18 @@ def blank_as_null(name: str, trim: bool = False) -> Column:
     return F.nullif(F.trim(text) if trim else text, F.lit(""))
 
 
+def zero_as_null(value: Column) -> Column:
+    """Number ``value`` with zero as NULL."""
+    return F.nullif(value, F.lit(0))
+
+
 def missing_count(name: str, dtype: T.DataType, zero_is_missing: bool = False) -> Column:
     """Number of rows where ``name`` is NULL or, for text, empty."""
     value = F.col(f"`{name}`")
     if isinstance(dtype, T.StringType):
         value = F.nullif(value, F.lit(""))
     elif zero_is_missing and isinstance(dtype, T.NumericType):
-        value = F.nullif(value, F.lit(0))
+        value = zero_as_null(value)
     return F.count(F.lit(1)) - F.count(value)
 
 

@@ -132,13 +132,10 @@ def _filled(m: str, rule: NeighbourRule) -> Column:
         middle, mean = round_half_up(middle, rule.digits), round_half_up(mean, rule.digits)
     after_gap = F.col(f"_first_{m}") if rule.edge == "first_value" else lead
     before_gap = lag if rule.edge == "adjacent" else F.col(f"_last_{m}")
-    return (
-        F.when(F.col(m).isNotNull(), F.col(m))
-        .when(lag.isNotNull() & lead.isNotNull(), middle)
-        .when(lag.isNull() & lead.isNull(), mean)
-        .when(lag.isNull(), after_gap)
-        .otherwise(before_gap)
-    )
+    one_sided = F.when(lag.isNull(), after_gap).otherwise(before_gap)
+    alone = F.coalesce(lag, lead).isNull()
+    # The midpoint is NULL unless both neighbours are known.
+    return F.coalesce(F.col(m), middle, F.when(alone, mean).otherwise(one_sided))
 
 
 def fill_mean_cascade(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.functions.scalars import blank_as_null, ratio, round_half_up
+from panelweave.functions.scalars import blank_as_null, ratio, round_half_up, zero_as_null
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -19,9 +19,21 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
-def blank_to_null(df: DataFrame, columns: Sequence[str], trim: bool = False) -> DataFrame:
-    """Turn the empty string into NULL in all ``columns`` in one pass."""
-    return df.withColumns({c: blank_as_null(c, trim) for c in columns})
+def blank_to_null(
+    df: DataFrame, columns: Sequence[str], trim: bool = False, zero_is_missing: bool = False
+) -> DataFrame:
+    """Turn the empty string into NULL in all ``columns`` in one pass.
+
+    With ``trim`` a text of spaces counts as empty, and with ``zero_is_missing`` a number zero.
+    """
+    cleaned = {}
+    for c in columns:
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, T.StringType):
+            cleaned[c] = blank_as_null(c, trim)
+        elif zero_is_missing and isinstance(dtype, T.NumericType):
+            cleaned[c] = zero_as_null(F.col(f"`{c}`"))
+    return df.withColumns(cleaned)
 
 
 def cast_measures(df: DataFrame, types: Mapping[str, T.DataType | str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.functions.scalars import blank_as_null
+from panelweave.functions.scalars import blank_as_null, zero_as_null
 from panelweave.operators.fill import (
     NeighbourRule,
     fill_mean_cascade,
@@ -47,6 +47,7 @@ class CleaningSpec:
     renames: Mapping[str, str] = field(default_factory=dict)
     blanks: tuple[str, ...] = ()
     types: Mapping[str, T.DataType | str] = field(default_factory=dict)
+    zeros_missing: tuple[str, ...] = ()
     previous_category: str | None = None
     neighbour_fills: Mapping[str, NeighbourRule] = field(default_factory=dict)
     mean_fills: tuple[str, ...] = ()
@@ -64,6 +65,8 @@ def prepare_panel(raw: DataFrame, spec: CleaningSpec) -> DataFrame:
         value = blank_as_null(c) if c in spec.blanks else F.col(f"`{c}`")
         if c in spec.types:
             value = value.try_cast(spec.types[c])
+        if c in spec.zeros_missing:
+            value = zero_as_null(value)
         columns.append(value.alias(c))
     return df.select(*columns)
 

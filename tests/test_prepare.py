@@ -55,6 +55,8 @@ def test_zero_is_data_unless_asked(spark):
     df = spark.createDataFrame([(0.0,), (None,), (1.0,)], "v double")
     assert missing_audit(df).first().v == 1
     assert missing_audit(df, zero_is_missing=True).first().v == 2
+    assert blank_to_null(df, ["v"]).filter("v IS NULL").count() == 1
+    assert blank_to_null(df, ["v"], zero_is_missing=True).filter("v IS NULL").count() == 2
 
 
 def test_missing_by_group_and_categories(spark):
