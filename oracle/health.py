@@ -1,6 +1,7 @@
 """SQL for the health panel: raw table, cleaning and questions."""
 
 from oracle.panel import (
+    below,
     centred,
     corr_sql,
     describe_sql,
@@ -92,7 +93,7 @@ _LOW = {
 
 def _low(m: str, digits: int) -> str:
     mean = f"AVG({m}) OVER (PARTITION BY Country)"
-    return f"CASE WHEN {m} < {mean} / 3 THEN {half_up(mean, digits)} ELSE {m} END AS {m}"
+    return f"CASE WHEN {below(m, f'{mean} / 3')} THEN {half_up(mean, digits)} ELSE {m} END AS {m}"
 
 
 CLEAN = f"""{RAW},

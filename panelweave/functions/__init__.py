@@ -1,16 +1,20 @@
 from panelweave.functions.moments import centred_correlation, pairwise_correlation
 from panelweave.functions.scalars import (
+    below,
     blank_as_null,
     in_range,
     missing_count,
     ratio,
     round_half_up,
+    same,
     store_as,
     tier_label,
     trend_label,
+    zero_as_null,
 )
 
 __all__ = [
+    "below",
     "blank_as_null",
     "centred_correlation",
     "in_range",
@@ -18,7 +22,9 @@ __all__ = [
     "pairwise_correlation",
     "ratio",
     "round_half_up",
+    "same",
     "store_as",
     "tier_label",
     "trend_label",
+    "zero_as_null",
 ]

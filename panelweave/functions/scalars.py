@@ -53,8 +53,26 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+# Means of doubles differ in their last digits with the order of the sum, which Spark does not fix.
+# Comparisons leave this relative margin, so that what is equal in exact arithmetic stays equal.
+MARGIN = 1e-12
+
+
+def below(value: Column, bound: Column) -> Column:
+    """``value`` < ``bound``, by more than the margin."""
+    value, bound = value.cast("double"), bound.cast("double")
+    return value < bound - F.abs(bound) * MARGIN
+
+
+def same(value: Column, other: Column) -> Column:
+    """``value`` = ``other``, within the margin."""
+    value, other = value.cast("double"), other.cast("double")
+    return F.abs(value - other) <= F.abs(other) * MARGIN
+
+
 def in_range(value: Column, lo: float, hi: float) -> Column:
-    return value.between(F.lit(lo), F.lit(hi))
+    """``value`` in [lo, hi], within the margin."""
+    return value.cast("double").between(lo - abs(lo) * MARGIN, hi + abs(hi) * MARGIN)
 
 
 def tier_label(cumulative: Column, cuts: Sequence[float]) -> Column:

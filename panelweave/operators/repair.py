@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalars import in_range, round_half_up, store_as
+from panelweave.functions.scalars import below, in_range, round_half_up, store_as
 from panelweave.operators.spread import with_group_values
 
 
@@ -37,7 +37,7 @@ def replace_low_outliers(
     for m, places in digits.items():
         mean = F.col(f"_own_{m}")
         replacement = store_as(round_half_up(mean, places), df.schema[m].dataType)
-        repaired[m] = F.when(F.col(m) < mean / divisor, replacement).otherwise(F.col(m))
+        repaired[m] = F.when(below(F.col(m), mean / divisor), replacement).otherwise(F.col(m))
     return out.withColumns(repaired).drop(*[f"_own_{m}" for m in digits])
 
 

@@ -150,6 +150,12 @@ def test_extremes(spark):
         ("b", "lowest_expectancy", 4.0),
         ("c", "highest_expectancy", 6.0),
     }
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last digit.
+    noisy = spark.createDataFrame(
+        [("a", 0.6, 1.0), ("b", 0.1 + 0.2 + 0.3, 1.0), ("c", 0.9, 1.0)], "e string, v double, w double"
+    )
+    lowest = extreme_group_profile(noisy, "e", "v", ["w"]).filter("ranking LIKE 'low%'")
+    assert sorted(r.e for r in lowest.collect()) == ["a", "b"]
     flat = extreme_group_profile(df.filter("v = 1"), "e", "v", ["w"]).collect()
     assert {r.ranking for r in flat} == {"lowest_expectancy"}
 

@@ -18,6 +18,12 @@ def test_low_outliers(series, layout):
     assert low == {"E": [9, 9, 9, 7], "F": [1, 5], "G": [None, 30, 10.2, 10.2]}
 
 
+def test_a_third_of_a_mean_of_doubles_stays(series):
+    # The mean is 0.3 in exact arithmetic, but 0.30000000000000004 when summed.
+    panel = series({"E": [0.1, 0.1 + 0.2, 0.5]})
+    assert by_entity(replace_low_outliers(panel, "entity", {"v": 2}))["E"][0] == 0.1
+
+
 def test_out_of_range(series, layout):
     panel = series({"E": [15.0, 40.0, 14.99, 40.01, None], "F": [50.0, 60.0]})
     assert by_entity(replace_out_of_range(panel, "entity", {"v": (15, 40)})) == {
