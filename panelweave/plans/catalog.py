@@ -343,6 +343,92 @@ def mean_by_region(spark, folder):
     return rounded(ops.mean_by_subgroup(panel, places, ENTITY, ["region"], "m1"))
 
 
+# The same operators straight over the large tables
+
+
+def gappy_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order; the amounts of pending orders are unknown."""
+    priority = F.col("o_orderpriority").alias("seg")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(ID),
+        F.col("o_custkey").alias(ENTITY),
+        F.year("o_orderdate").alias(PERIOD),
+        priority,
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("m1"),
+    )
+    return orders
+
+
+def lines_by_part(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias(ENTITY),
+        F.col("l_quantity").alias("m1"),
+        F.col("l_extendedprice").alias("m2"),
+    )
+
+
+def fill_adjacent_orders(spark, folder):
+    rules = {"m1": NeighbourRule("adjacent", 2)}
+    orders = gappy_orders(spark, folder)
+    return rounded(ops.fill_neighbours(orders, ENTITY, PERIOD, "seg", rules, ID))
+
+
+def fill_first_value_orders(spark, folder):
+    rules = {"m1": NeighbourRule("first_value")}
+    orders = gappy_orders(spark, folder)
+    return rounded(ops.fill_neighbours(orders, ENTITY, PERIOD, "seg", rules, ID))
+
+
+def fill_mean_cascade_orders(spark, folder):
+    filled = ops.fill_mean_cascade(gappy_orders(spark, folder), ENTITY, PERIOD, "seg", ["m1"])
+    return filled.withColumn("m1", round_half_up(F.col("m1"), 2))
+
+
+def out_of_range_orders(spark, folder):
+    orders = orders_by_year(spark, folder)
+    return rounded(ops.replace_out_of_range(orders, ENTITY, {"m1": (100000, 300000)}))
+
+
+def describe_orders(spark, folder):
+    return rounded(ops.describe_by_group(gappy_orders(spark, folder), ENTITY, "m1"))
+
+
+def describe_orders_null_ranks(spark, folder):
+    orders = gappy_orders(spark, folder)
+    return rounded(ops.describe_by_group(orders, ENTITY, "m1", nulls="first"))
+
+
+def pearson_lines(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    pairs = [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax")]
+    return rounded(ops.pearson(lines, pairs))
+
+
+def pearson_lines_by_flag(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    return rounded(ops.pearson_by_group(lines, "l_returnflag", [("l_quantity", "l_extendedprice")]))
+
+
+def pareto_tiers_parts(spark, folder):
+    return rounded(ops.pareto_tiers(lines_by_part(spark, folder), ENTITY, "m2", (71, 90), "mean"))
+
+
+def mean_by_tier_parts(spark, folder):
+    lines = lines_by_part(spark, folder)
+    tiers = materialize(ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", position=False))
+    return rounded(ops.mean_by_tier(lines, tiers, ENTITY, "m1"))
+
+
+def extreme_profile_parts(spark, folder):
+    return rounded(ops.extreme_group_profile(lines_by_part(spark, folder), ENTITY, "m1", ["m2"]))
+
+
+def rows_at_extremes_lines(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    return ops.rows_at_extremes(lines, "l_quantity", columns)
+
+
 def running_amount(spark, folder):
     """Running total of each customer's order amounts by order key."""
     orders = table(spark, folder, "orders").select(
@@ -435,6 +521,18 @@ QUERIES: dict[str, Query] = {
     "rolling_mean_orders": rolling_mean_orders,
     "mean_by_region": mean_by_region,
     "running_amount": running_amount,
+    "fill_adjacent_orders": fill_adjacent_orders,
+    "fill_first_value_orders": fill_first_value_orders,
+    "fill_mean_cascade_orders": fill_mean_cascade_orders,
+    "out_of_range_orders": out_of_range_orders,
+    "describe_orders": describe_orders,
+    "describe_orders_null_ranks": describe_orders_null_ranks,
+    "pearson_lines": pearson_lines,
+    "pearson_lines_by_flag": pearson_lines_by_flag,
+    "pareto_tiers_parts": pareto_tiers_parts,
+    "mean_by_tier_parts": mean_by_tier_parts,
+    "extreme_profile_parts": extreme_profile_parts,
+    "rows_at_extremes_lines": rows_at_extremes_lines,
     "health_audit": health_audit,
     "health_missing_gdp": health_missing_gdp,
     "health_clean": health_clean,
