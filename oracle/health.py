@@ -33,8 +33,11 @@ cell AS (
          COUNT(*) FILTER (WHERE l_returnflag = 'A') AS accepted,
          COUNT(*) FILTER (WHERE l_linestatus = 'O') AS open, MAX(o_orderstatus) AS status
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+years AS (
+  SELECT c_custkey, c_mktsegment, CAST(UNNEST(RANGE((SELECT MIN(year(o_orderdate)) FROM orders),
+         (SELECT MAX(year(o_orderdate)) FROM orders) + 1)) AS INT) AS period FROM customer),
 typed AS (
-  SELECT CAST(c.c_custkey AS VARCHAR) AS Country, y.period AS Year,
+  SELECT CAST(y.c_custkey AS VARCHAR) AS Country, y.period AS Year,
          CASE status WHEN 'F' THEN 'Developed' WHEN 'O' THEN 'Developing' END AS Status,
          CASE WHEN q % 7 <> 0 THEN CAST(((q * 100) // n + 4000) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(4,2))
               END AS Lifeexpectancy,
@@ -51,9 +54,8 @@ typed AS (
          CAST(off_max AS DOUBLE) AS thinness10_19years,
          CASE WHEN q % 3 <> 0 THEN CAST(off AS DOUBLE) END AS thinness5_9years,
          CASE WHEN q % 10 <> 0 THEN CAST(n + 5 AS DOUBLE) END AS Schooling,
-         c.c_custkey * 100000 + y.period * 10 + COALESCE(urgent, 0) AS Row_ID
-  FROM customer c CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS period FROM orders) y
-       LEFT JOIN cell ON cell.country = c.c_custkey AND cell.period = y.period)
+         y.c_custkey * 100000 + y.period * 10 + COALESCE(urgent, 0) AS Row_ID
+  FROM years y LEFT JOIN cell ON cell.country = y.c_custkey AND cell.period = y.period)
 """
 
 # Values on their way into a DECIMAL(4,2) column first have the six digits of a decimal mean.

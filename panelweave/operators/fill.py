@@ -96,7 +96,8 @@ def fill_neighbours(
     """Fill each measure's gaps from the adjacent rows by its :class:`NeighbourRule`.
 
     All measures share one window over the entity. ``means`` may pass a table made by
-    :func:`group_means` that several fills use. ``key`` breaks ties between rows of one period.
+    :func:`group_means` that several fills use. ``key`` breaks ties between rows of one period; it
+    is needed where a period may repeat very often within an entity.
     """
     order = _order(period, key)
     if means is None:
