@@ -21,14 +21,28 @@ CHUNK = "_chunk"
 HALO = "_halo"
 
 ROWS_PER_CHUNK = 2_000_000
-# At most this many heavy entities and, within a factor of two, chunks: what is broadcast below
-# holds one row per heavy entity or chunk, so its size has a fixed bound (tens of megabytes)
-# whatever the size of the input. Beyond 4e11 rows the chunks grow instead.
+ROWS_SETTING = "spark.panelweave.rowsPerChunk"
+# Bound on heavy groups and, within a factor of two, chunks. What is broadcast below holds one row
+# for each, so its size is bounded (tens of megabytes) whatever the size of the input.
 MAX_CHUNKS = 200_000
 
 
 def rows_per_chunk(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.panelweave.rowsPerChunk", str(ROWS_PER_CHUNK)))
+    return int(spark.conf.get(ROWS_SETTING, str(ROWS_PER_CHUNK)))
+
+
+def _row_limit(spark: SparkSession, total: int) -> int:
+    """How many of ``total`` rows a group may hold and still go to one task.
+
+    Unless set by the user, at least an average shuffle partition: smaller pieces would only add
+    shuffle blocks.
+    """
+    pieces = MAX_CHUNKS
+    if not spark.conf.get(ROWS_SETTING, None):
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        pieces = min(pieces, max(int(usual), int(spark.conf.get(initial, None) or 0)))
+    return max(rows_per_chunk(spark), total // pieces)
 
 
 def null_safe_join(
@@ -106,7 +120,7 @@ def _group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def _limit_and_largest(spark: SparkSession, sizes: DataFrame) -> tuple[int, int]:
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    return max(rows_per_chunk(spark), (total or 0) // MAX_CHUNKS), largest or 0
+    return _row_limit(spark, total or 0), largest or 0
 
 
 def ordering(order: Sequence[str], reverse: bool = False) -> list[Column]:
