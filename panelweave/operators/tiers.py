@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import ratio, round_half_up, tier_label
-from panelweave.operators.spread import null_safe_join, running_totals, unsplit
+from panelweave.operators.spread import (
+    has_heavy_group,
+    null_safe_join,
+    running_totals,
+    unsplit,
+)
 from panelweave.operators.summary import mean_of_sums, partial_sums
 from panelweave.sources.workspace import pin
 
@@ -53,16 +58,18 @@ def pareto_tiers(
     # Written, since a total of doubles summed again in another order could move a share.
     shares = pin(shares, "shares")
 
+    # There are no more levels than entities.
+    split = has_heavy_group(shares, [])
     levels = shares.groupBy("percent_in_total").agg(
         F.sum("percent_in_total").cast("decimal(38,4)").alias("_level")
     )
     levels = running_totals(
-        levels, [], ["-percent_in_total"], {"rolling_percent": F.col("_level")}
+        levels, [], ["-percent_in_total"], {"rolling_percent": F.col("_level")}, split
     )
     levels = pin(levels.select("percent_in_total", "rolling_percent"), "levels")
     if position:
         shares = running_totals(
-            shares, [], ["-percent_in_total", entity], {"counting": F.lit(1)}
+            shares, [], ["-percent_in_total", entity], {"counting": F.lit(1)}, split
         )
     tiers = null_safe_join(unsplit(shares), levels, ["percent_in_total"])
     columns = [entity, "percent_in_total", "rolling_percent"] + ["counting"] * position
