@@ -18,7 +18,13 @@ from panelweave.sources import read_raw, release, write_panel
 def write_report(
     spark: SparkSession, raw: DataFrame, out: str, regions: DataFrame | None = None
 ) -> list[str]:
-    """Write the audits, the cleaned panel and all answers below ``out``; returns their names."""
+    """Write the raw table, the audits, the cleaned panel and all answers below ``out``.
+
+    The raw table is stored first: the audits and the cleaning read it several times, but not all
+    of its columns. Returns the names of what was written.
+    """
+    write_panel(raw, f"{out}/staging")
+    raw = spark.read.schema(raw.schema).parquet(f"{out}/staging")
     write_panel(health.audit_health_panel(raw), f"{out}/audit")
     write_panel(health.missing_gdp(raw), f"{out}/missing_gdp")
     write_panel(health.clean_health_panel(raw), f"{out}/panel")
@@ -28,7 +34,7 @@ def write_report(
         answers["life_expectancy_by_region"] = health.life_expectancy_by_region(panel, regions)
     for name, answer in answers.items():
         write_panel(answer, f"{out}/{name}")
-    return ["audit", "missing_gdp", "panel", *answers]
+    return ["staging", "audit", "missing_gdp", "panel", *answers]
 
 
 def main(raw: str, out: str, fmt: str = "csv", regions: str | None = None) -> None:

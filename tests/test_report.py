@@ -15,7 +15,7 @@ def test_report_from_csv(spark, tmp_path):
     health_staging(spark, FOLDER).select(*health.RAW_COLUMNS).write.csv(raw, header=True)
     places = regions(spark, FOLDER, "key").select(F.col("key").cast("string").alias("Country"), "region")
     names = write_report(spark, read_raw(spark, raw, health.RAW_COLUMNS), out, places)
-    assert len(names) == 3 + len(health.QUESTIONS) + 1
+    assert len(names) == 4 + len(health.QUESTIONS) + 1
     read = {n: spark.read.parquet(f"{out}/{n}") for n in names}
     panel = read["panel"]
     assert panel.count() == 150 * 7 == panel.select("Country", "Year").distinct().count()
