@@ -473,7 +473,8 @@ def health_life_expectancy_by_region(spark, folder):
     places = places.select(F.col("country").cast("string").alias("Country"), "region")
     means = health.life_expectancy_by_region(clean_snapshot(spark, folder), places)
     # Means of two-digit numbers over round counts end in a 5 often.
-    return means.select("region", round_half_up(F.col("avg_Lifeexpectancy"), 6).alias("avg_Lifeexpectancy"))
+    mean = "avg_Lifeexpectancy"
+    return means.withColumn(mean, round_half_up(F.col(mean), 6))
 
 
 QUERIES: dict[str, Query] = {

@@ -123,6 +123,7 @@ def health_staging(spark: SparkSession, folder: str) -> DataFrame:
     status = F.when(F.col("status") == ord("F"), "Developed").when(
         F.col("status") == ord("O"), "Developing"
     )
+    spent = F.floor("amount").cast("decimal(18,0)") * hundredth
     row_id = F.col("country") * 100000 + F.col("period") * 10 + F.coalesce("urgent", F.lit(0))
     return rows.select(
         _text(F.col("country")).alias("Country"),
@@ -131,7 +132,7 @@ def health_staging(spark: SparkSession, folder: str) -> DataFrame:
         _text(life.cast("decimal(4,2)"), q % 7 != 0).alias("Lifeexpectancy"),
         _text(q, q % 5 != 0).alias("AdultMortality"),
         _text(F.col("returned"), q % 6 != 0).alias("infantdeaths"),
-        _text(F.floor("amount").cast("decimal(18,0)") * hundredth, q % 8 != 0).alias("percentageexpenditure"),
+        _text(spent, q % 8 != 0).alias("percentageexpenditure"),
         _text(F.col("open") * 10, F.col("seg") != "HOUSEHOLD").alias("Measles"),
         _text(q % 40 + 8, q % 9 != 0).alias("BMI"),
         _text(F.col("returned") + F.col("accepted")).alias("under-fivedeaths"),
