@@ -32,10 +32,10 @@ class ByteBPE:
     """Encoder and decoder for one rank file.
 
     A piece is encoded from the left by the longest token that matches; an automaton over the
-    vocabulary, with bytes written as Latin-1 characters, finds all matches in one pass. A token may
-    follow another if merging the bytes of both would give just these two. Where no token fits, the
-    last one is taken back and the next shorter one tried; a position found to lead nowhere is
-    marked, so each is given up once at most.
+    vocabulary, with bytes written as Latin-1 characters, finds these in one pass. A token may
+    follow another if merging the bytes of both would give just these two. Where one does not fit,
+    the next shorter one is tried, and without any the last token is taken back; a position found to
+    lead nowhere is marked, so each is given up once at most.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -53,6 +53,7 @@ class ByteBPE:
         for token, rank in reachable.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.longest = max(map(len, reachable))
         self.shorter = {
             rank: next((reachable[t] for n in range(len(token) - 1, 0, -1) if (t := token[:n]) in reachable), None)
             for token, rank in reachable.items()
@@ -97,12 +98,18 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         size, shorter, fits = self.size, self.shorter, self.fits
-        longest: list[int | None] = [None] * (len(piece) + 1)
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - size[token]] = token  # later ones that start here are longer
+        text = piece.decode("latin-1")
         out: list[int] = []
+        at = 0
+        for end, token in self.automaton.iter_long(text):
+            if out and not fits(out[-1], token):
+                break
+            out.append(token)
+            at = end + 1
+        else:
+            return out
         dead = bytearray(len(piece) + 1)
-        at, token = 0, longest[0]
+        token = shorter[token]
         while at < len(piece):
             while token is not None:
                 if not dead[at + size[token]] and (not out or fits(out[-1], token)):
@@ -116,13 +123,37 @@ class ByteBPE:
             else:
                 out.append(token)
                 at += size[token]
-                token = longest[at]
+                token = self._longest(text, at)
         return out
 
+    def _longest(self, text: str, at: int) -> int | None:
+        """The longest token that ``text`` has at a place; None at its end."""
+        n = self.automaton.longest_prefix(text[at : at + self.longest])
+        while n and text[at : at + n] not in self.automaton:
+            n -= 1
+        return self.automaton.get(text[at : at + n]) if n else None
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Remembered(dict):
+    """Results of a function for short pieces, as many of the first ones as are allowed.
+
+    Frequent pieces come early, so few calls are repeated once it is full.
+    """
+
+    def __init__(self, function: Callable[[str], bytes]):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, piece: str) -> bytes:
+        result = self.function(piece)
+        if len(self) < PIECES and len(piece) <= PIECE_BYTES:
+            self[piece] = result
+        return result
+
+
 def python_pattern(pattern: str) -> re.Pattern:
     r"""``pattern`` for Python's ``re``, with \p{L}, \p{N} and \s as the tokenizer library has them.
 
@@ -164,8 +195,7 @@ def _encoder(path: str, pattern: str) -> tuple[ByteBPE, re.Pattern, Callable[[st
     def packed(piece: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in bpe.encode_piece(piece.encode()))
 
-    remembered = lru_cache(PIECES)(packed)
-    return bpe, python_pattern(pattern), lambda p: remembered(p) if len(p) <= PIECE_BYTES else packed(p)
+    return bpe, python_pattern(pattern), Remembered(packed).__getitem__
 
 
 @lru_cache(2)
@@ -228,7 +258,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         token = _token_bytes(path)
         for batch in batches:
             for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
-                done = [b"".join(map(token.__getitem__, ids or ())) for ids in part.column(1).to_pylist()]
+                ends = part.column(1).offsets.to_pylist()
+                ids = part.column(1).values.to_numpy()
+                done = [
+                    b"".join(map(token.__getitem__, ids[a:b].tolist()))
+                    for a, b in zip(ends, ends[1:], strict=False)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(done, pa.binary())], ["doc_id", "ids", "decoded"]
                 )
