@@ -39,7 +39,7 @@ def _hang_larger(links: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = pin(least.select("u", F.least("u", "m").alias("m")), "least")
     hung = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return pin(hung.filter("a != b").distinct(), "links")
+    return pin(hung.filter("a != b"), "links")
 
 
 def _hang_smaller(links: DataFrame) -> DataFrame:
