@@ -225,27 +225,43 @@ def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
     """Token ids of every row's whole text: columns doc_id, ids (array of int).
 
     ``path`` is a rank file that every executor has; each match of ``pattern`` is encoded
-    separately, without special tokens, and the ids are those of the tiktoken library. NULL and
-    empty texts have no ids. Repeated rows come out as often as they came; an empty table gives an empty
-    table; other columns are not read. One pass, no shuffle; a batch is cut into parts of a few million
-    characters, and what a worker remembers of earlier pieces is bounded.
+    separately, without special tokens, and the ids are those of the tiktoken library. With ``decoded``,
+    the column decoded has the bytes that the ids stand for, as from :func:`decode` but in the same
+    Python worker. NULL and empty texts have no ids. Repeated rows come out as often as they came; an
+    empty table gives an empty table; other columns are not read. One pass, no shuffle; a batch is cut into parts of a few
+    million characters, and what a worker remembers of earlier pieces is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cut, packed = _encoder(path, pattern)
+        bpe, cut, packed = _encoder(path, pattern)
         for batch in batches:
             for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
-                ids = [b"".join(map(packed, cut.findall(t))) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids, pa.int32())], ["doc_id", "ids"])
+                ids = [b"".join(map(packed, cut.findall(t.as_py()))) for t in part.column(1)]
+                columns = [part.column(0), _lists(ids, pa.int32())]
+                if decoded:
+                    columns.append(_decoded(columns[1], bpe.bytes_of))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     content = shared.text_of(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.length(content).alias("n"))
+    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return shared.map_arrow(rows, run, f"doc_id {kind}, ids array<int>")
+    kinds = [f"doc_id {kind}", "ids array<int>", "decoded binary"][: 2 + decoded]
+    return shared.map_arrow(rows, run, ", ".join(kinds))
+
+
+def _decoded(ids: pa.ListArray, token: dict[int, bytes]) -> pa.Array:
+    ends, values = ids.offsets.to_pylist(), ids.values.to_numpy()
+    done = [
+        b"".join(map(token.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)
+    ]
+    return pa.array(done, pa.binary())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -258,15 +274,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         token = _token_bytes(path)
         for batch in batches:
             for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
-                ends = part.column(1).offsets.to_pylist()
-                ids = part.column(1).values.to_numpy()
-                done = [
-                    b"".join(map(token.__getitem__, ids[a:b].tolist()))
-                    for a, b in zip(ends, ends[1:], strict=False)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(done, pa.binary())], ["doc_id", "ids", "decoded"]
-                )
+                columns = [part.column(0), part.column(1), _decoded(part.column(1), token)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     rows = encoded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n"))

@@ -97,7 +97,7 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 def token_digests(docs: DataFrame) -> DataFrame:
     """Every document encoded and decoded again: number of ids, digests of ids and of bytes."""
     path = public_tokenizers.path(RANKS)
-    tokens = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    tokens = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return tokens.select(
         "doc_id",
