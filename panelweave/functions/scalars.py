@@ -71,8 +71,8 @@ def same(value: Column, other: Column) -> Column:
 
 
 def in_range(value: Column, lo: float, hi: float) -> Column:
-    """``value`` in [lo, hi], within the margin."""
-    return value.cast("double").between(lo - abs(lo) * MARGIN, hi + abs(hi) * MARGIN)
+    """``value`` in [lo, hi], exactly: the bounds are given, not computed."""
+    return value.cast("double").between(float(lo), float(hi))
 
 
 def tier_label(cumulative: Column, cuts: Sequence[float]) -> Column:
@@ -85,7 +85,15 @@ def tier_label(cumulative: Column, cuts: Sequence[float]) -> Column:
     return label.otherwise(TIERS[2])
 
 
-def trend_label(slope: Column, digits: int = 12) -> Column:
-    """Direction of ``slope``; rounding first keeps a flat series flat."""
-    slope = F.round(slope, digits)
+# Sums of products no larger than this share of the terms they are made of are rounding noise.
+NOISE = 1e-13
+
+
+def trend_label(slope: Column, products: Column, terms: Column) -> Column:
+    """Direction of ``slope``, whose sign is that of the sum ``products``.
+
+    ``terms`` is the sum of the sizes of what the products were computed from. A flat series leaves
+    only rounding noise of them; a real trend shows at any number of rows, however small its slope.
+    """
+    slope = F.when(F.abs(products) <= NOISE * terms, F.lit(0.0)).otherwise(slope)
     return F.when(slope > 0, INCREASE).when(slope < 0, DECREASE).otherwise(UNDECIDED)

@@ -22,29 +22,13 @@ HALO = "_halo"
 
 ROWS_PER_CHUNK = 2_000_000
 ROWS_SETTING = "spark.panelweave.rowsPerChunk"
-# Bound on heavy groups and, within a factor of two, chunks. What is broadcast below holds one row
-# for each, so its size is bounded (tens of megabytes) whatever the size of the input.
-MAX_CHUNKS = 200_000
 
 
 def rows_per_chunk(spark: SparkSession) -> int:
+    """How many rows a group may hold and still go to one task, however many there are in all."""
     return int(spark.conf.get(ROWS_SETTING, str(ROWS_PER_CHUNK)))
 
 
-def _row_limit(spark: SparkSession, total: int) -> int:
-    """How many of ``total`` rows a group may hold and still go to one task.
-
-    Unless set by the user, at least an average shuffle partition: smaller pieces would only add
-    shuffle blocks.
-    """
-    pieces = MAX_CHUNKS
-    if not spark.conf.get(ROWS_SETTING, None):
-        usual = spark.conf.get("spark.sql.shuffle.partitions")
-        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-        pieces = min(pieces, max(int(usual), int(spark.conf.get(initial, None) or 0)))
-    return max(rows_per_chunk(spark), total // pieces)
-
-
 def null_safe_join(
     left: DataFrame,
     right: DataFrame,
@@ -83,7 +67,7 @@ def split_heavy(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
 def _heavy_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame | None, int]:
     """Written table of the groups with too many rows, or None, and the limit they exceed."""
     sizes = _group_sizes(df, by)
-    limit, largest = _limit_and_largest(df.sparkSession, sizes)
+    limit, largest = rows_per_chunk(df.sparkSession), _largest(sizes)
     if largest <= limit:
         return None, limit
     return pin(sizes.filter(F.col("_n") > limit), "heavy"), limit
@@ -94,14 +78,13 @@ def _hot_and_cold(
 ) -> tuple[DataFrame, DataFrame | None]:
     if not by:
         return df, None
-    keys = F.broadcast(heavy.drop("_n"))
+    keys = heavy.drop("_n")
     return null_safe_join(df, keys, by, "left_semi"), null_safe_join(df, keys, by, "left_anti")
 
 
 def has_heavy_group(df: DataFrame, by: Sequence[str]) -> bool:
     """Whether some group of ``by`` has too many rows for one task. Runs one counting job."""
-    limit, largest = _limit_and_largest(df.sparkSession, _group_sizes(df, by))
-    return largest > limit
+    return _largest(_group_sizes(df, by)) > rows_per_chunk(df.sparkSession)
 
 
 def span_fits(df: DataFrame, column: str) -> bool:
@@ -118,9 +101,8 @@ def _group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _limit_and_largest(spark: SparkSession, sizes: DataFrame) -> tuple[int, int]:
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    return _row_limit(spark, total or 0), largest or 0
+def _largest(sizes: DataFrame) -> int:
+    return sizes.agg(F.max("_n")).first()[0] or 0
 
 
 def ordering(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -206,7 +188,7 @@ def with_group_values(
 
     def totals(hot, prefix=""):
         aggregates = [agg.alias(prefix + name) for name, agg in values.items()]
-        return F.broadcast(hot.groupBy(*by).agg(*aggregates))
+        return hot.groupBy(*by).agg(*aggregates)
 
     if not is_split(df):
         heavy = _heavy_groups(df, by)[0] if split else None
@@ -239,7 +221,7 @@ def with_last_known(
     carry = ends.select(
         *by, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
     )
-    seen = null_safe_join(seen, F.broadcast(carry), [*by, CHUNK])
+    seen = null_safe_join(seen, carry, [*by, CHUNK])
     return seen.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
 
 
@@ -273,7 +255,7 @@ def running_totals(
         CHUNK,
         *[F.sum(f"_sum_{name}").over(earlier).alias(f"_before_{name}") for name in totals],
     )
-    running = null_safe_join(running, F.broadcast(offsets), [*by, CHUNK])
+    running = null_safe_join(running, offsets, [*by, CHUNK])
     for name in totals:
         zero = F.lit(0).cast(running.schema[name].dataType)
         before = F.coalesce(F.col(f"_before_{name}"), zero)

@@ -17,8 +17,6 @@ from panelweave.operators.spread import (
 from panelweave.operators.summary import mean_of_sums, partial_sums
 from panelweave.sources.workspace import pin
 
-SHARE_TYPE = "decimal(20,4)"
-
 
 def pareto_tiers(
     df: DataFrame,
@@ -30,6 +28,7 @@ def pareto_tiers(
     key: str | None = None,
     out: str = "tier",
     position: bool = True,
+    digits: int = 4,
 ) -> DataFrame:
     """One row per entity: its share of the total in percent, the running share, and its tier.
 
@@ -38,9 +37,12 @@ def pareto_tiers(
     cut is in the tier below it. ``position`` adds ``counting``, the entity's place in that order,
     ties by entity. An entity without a value comes last, with the whole total as running share.
 
-    Shares are exact decimals. The running share is taken over the distinct shares, of which there
-    are few (at most about 1,400 if no value is negative: they step by 0.0001 and add up to 100).
+    Shares are exact decimals of ``digits`` places. Rounding loses up to half a last place for every entity,
+    so many entities need more digits: it is an error if the rounded shares miss 100 by over 0.5.
+    The running share is taken over the distinct shares, which repeat less the more digits they have.
     """
+    if not 0 <= digits <= 14:
+        raise ValueError("shares have 0 to 14 digits")
     if stat == "latest":
         if period is None:
             raise ValueError("the latest value needs the period")
@@ -51,17 +53,20 @@ def pareto_tiers(
         raise ValueError("stat must be latest or mean")
     values = pin(df.groupBy(entity).agg(value.cast("double").alias("_value")), "values")
     total = values.agg(F.sum("_value")).scalar()
-    share = round_half_up(ratio(F.col("_value"), F.col("_total")) * 100, 4)
+    share = round_half_up(ratio(F.col("_value"), F.col("_total")) * 100, digits)
     shares = values.withColumn("_total", total).select(
-        entity, share.cast(SHARE_TYPE).alias("percent_in_total")
+        entity, share.cast(f"decimal({16 + digits},{digits})").alias("percent_in_total")
     )
     # Written, since a total of doubles summed again in another order could move a share.
     shares = pin(shares, "shares")
+    added = shares.agg(F.sum("percent_in_total")).first()[0]
+    if added is not None and abs(added - 100) > 0.5:
+        raise ValueError(f"shares of {digits} digits add up to {added}, not 100: give more digits")
 
     # There are no more levels than entities.
     split = has_heavy_group(shares, [])
     levels = shares.groupBy("percent_in_total").agg(
-        F.sum("percent_in_total").cast("decimal(38,4)").alias("_level")
+        F.sum("percent_in_total").cast(f"decimal(38,{digits})").alias("_level")
     )
     levels = running_totals(
         levels, [], ["-percent_in_total"], {"rolling_percent": F.col("_level")}, split

@@ -52,13 +52,18 @@ def trend_slope(
     x = F.col("_x") - F.try_divide(F.col("_wx"), F.col("_weights"))
     # Values relative to the entity's mean average to 1.
     mean = F.try_divide(F.col("_total"), F.col("_count"))
-    y = F.try_divide(F.col("_sum"), mean) - F.col("_known")
-    slopes = (
-        unsplit(cells.withColumn("_xy", x * y).withColumn("_xx", F.col("_w") * x * x))
-        .groupBy(entity)
-        .agg(F.try_divide(F.sum("_xy"), F.sum("_xx")).alias("slope"))
-        .withColumn("trend", trend_label(F.col("slope")))
+    share = F.try_divide(F.col("_sum"), mean)
+    cells = cells.withColumns(
+        {
+            "_xy": x * (share - F.col("_known")),
+            "_xx": F.col("_w") * x * x,
+            "_size": F.abs(x) * (F.abs(share) + F.col("_known")),
+        }
     )
+    sums = unsplit(cells).groupBy(entity).agg(*[F.sum(c).alias(c) for c in ("_xy", "_xx", "_size")])
+    slope = F.try_divide("_xy", "_xx")
+    trend = trend_label(slope, F.col("_xy"), F.col("_size"))
+    slopes = sums.select(entity, slope.alias("slope"), trend.alias("trend"))
     if carry is None:
         return slopes
     carried = df.filter(F.col(entity).isNotNull()).select(entity, carry).distinct()

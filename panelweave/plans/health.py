@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from panelweave.operators import (
     NeighbourRule,
+    cast_failures,
     describe_by_group,
     extreme_group_profile,
     latest_group_mean,
@@ -128,6 +129,11 @@ def audit_health_panel(raw: DataFrame) -> DataFrame:
     return missing_audit(rename_columns(raw, RENAMES))
 
 
+def cast_losses(raw: DataFrame) -> DataFrame:
+    """Per column, how many non-blank values of the raw table the cleaning turns into gaps."""
+    return cast_failures(rename_columns(raw, RENAMES), HEALTH_SPEC.types)
+
+
 def missing_gdp(raw: DataFrame) -> DataFrame:
     return missing_by_group(prepare_panel(raw, HEALTH_SPEC), ENTITY, "GDP")
 

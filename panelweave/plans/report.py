@@ -26,6 +26,7 @@ def write_report(
     write_panel(raw, f"{out}/staging")
     raw = spark.read.schema(raw.schema).parquet(f"{out}/staging")
     write_panel(health.audit_health_panel(raw), f"{out}/audit")
+    write_panel(health.cast_losses(raw), f"{out}/cast_losses")
     write_panel(health.missing_gdp(raw), f"{out}/missing_gdp")
     write_panel(health.clean_health_panel(raw), f"{out}/panel")
     panel = spark.read.parquet(f"{out}/panel")
@@ -34,7 +35,7 @@ def write_report(
         answers["life_expectancy_by_region"] = health.life_expectancy_by_region(panel, regions)
     for name, answer in answers.items():
         write_panel(answer, f"{out}/{name}")
-    return ["staging", "audit", "missing_gdp", "panel", *answers]
+    return ["staging", "audit", "cast_losses", "missing_gdp", "panel", *answers]
 
 
 def main(raw: str, out: str, fmt: str = "csv", regions: str | None = None) -> None:

@@ -18,13 +18,14 @@ def read_raw(
     """Read a staging table with every column as nullable text; nothing is inferred.
 
     ``columns`` is the file's own column order for ``csv``, and the projection for ``parquet`` and
-    ``orc``, whose stored types are turned into text.
+    ``orc``, whose stored types are turned into text. A csv line with more or fewer fields than there are
+    columns is an error when it is read, whichever columns are used.
     """
     if fmt == "csv":
         if not columns:
             raise ValueError("csv input needs its column names")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
+        return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", columnPruning=False)
     df = spark.read.format(fmt).load(path)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns or df.columns])
 

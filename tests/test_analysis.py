@@ -15,6 +15,7 @@ from panelweave import (
     pareto_tiers,
     pearson,
     pearson_by_group,
+    replace_out_of_range,
     rolling_mean,
     rows_at_extremes,
     running_totals,
@@ -179,3 +180,28 @@ def test_running_totals(spark, layout):
     assert totals == {(k, i): sum(range(i, 7)) for k in ("a", None) for i in range(7)}
     overall = running_totals(df.filter("k = 'a'"), [], ["i"], {"t": F.col("d")}).collect()
     assert {r.i: r.t for r in overall} == {i: math.comb(i + 1, 2) for i in range(7)}
+
+
+def test_trend_of_a_tiny_slope_and_of_a_flat_series(spark):
+    n = 2000
+    rows = [("up", i, 1.0 + 1e-9 * i) for i in range(n)] + [("flat", i, 0.1 + 0.2) for i in range(n)]
+    rows += [("down", i, 7.0 - 1e-9 * i) for i in range(n)] + [("wave", i, 5.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "entity string, period int, v double")
+    found = {r.entity: r.trend for r in trend_slope(df, "entity", "period", "v").collect()}
+    assert found == {"up": "increase", "flat": "not enough data to detect", "down": "decrease", "wave": "not enough data to detect"}
+
+
+def test_shares_of_many_entities(spark):
+    df = spark.range(1, 3_000_001).select(F.col("id").alias("entity"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError, match="more digits"):
+        pareto_tiers(df, "entity", "v", (71, 90), stat="mean")
+    df = df.filter("entity <= 300000")
+    tiers = pareto_tiers(df, "entity", "v", (71, 90), stat="mean", digits=12, position=False)
+    row = tiers.agg(F.max("rolling_percent").alias("end"), F.avg((F.col("tier") == "high").cast("int")).alias("high")).first()
+    assert abs(float(row.end) - 100) < 1e-4 and abs(row.high - 0.46) < 0.01
+
+
+def test_range_bounds_are_exact(spark, series):
+    df = series({"a": [20.0, 40.00000000001, 40.0]})
+    fixed = replace_out_of_range(df, "entity", {"v": (15, 40)})
+    assert by_entity(fixed)["a"] == [20.0, 30.0, 40.0]

@@ -18,7 +18,7 @@ from panelweave import (
     running_totals,
     trend_slope,
 )
-from panelweave.operators.spread import CHUNK, _row_limit, split_heavy
+from panelweave.operators.spread import CHUNK, rows_per_chunk, split_heavy
 from panelweave.plans.clean import CleaningSpec, Ratio, clean_panel
 
 
@@ -122,13 +122,11 @@ def test_chunks_are_bounded_ordered_and_complete(spark, panel):
     assert all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
 
 
-def test_limit_follows_the_shuffle_partitions(spark):
-    assert _row_limit(spark, 1_000_000) == 2_000_000
-    assert _row_limit(spark, 40_000_000) == 10_000_000  # four shuffle partitions
+def test_limit_does_not_grow_with_the_rows_or_partitions(spark):
+    assert rows_per_chunk(spark) == 2_000_000
     spark.conf.set("spark.panelweave.rowsPerChunk", "10")
     try:
-        assert _row_limit(spark, 1_000_000) == 10
-        assert _row_limit(spark, 40_000_000) == 200
+        assert rows_per_chunk(spark) == 10
     finally:
         spark.conf.unset("spark.panelweave.rowsPerChunk")
 
