@@ -25,7 +25,8 @@ def read_raw(
         if not columns:
             raise ValueError("csv input needs its column names")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", columnPruning=False)
+        reader = spark.read.option("columnPruning", False)
+        return reader.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
     df = spark.read.format(fmt).load(path)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns or df.columns])
 

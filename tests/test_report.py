@@ -40,5 +40,7 @@ def test_lines_of_another_length_and_lost_values_are_not_silent(spark, tmp_path)
         (tmp_path / f"{name}.csv").write_text(f"a,b\n1,2\n{line}\n")
         with pytest.raises(Exception, match="(?i)malformed"):
             read_raw(spark, str(tmp_path / f"{name}.csv"), ["a", "b"]).select("a").collect()
-    raw = health_staging(spark, FOLDER).withColumn("BMI", F.when(F.col("Row_ID") == "1", "12x").otherwise(F.col("BMI")))
+    raw = health_staging(spark, FOLDER)
+    first = raw.agg(F.min("Row_ID")).first()[0]
+    raw = raw.withColumn("BMI", F.when(F.col("Row_ID") == first, "12x").otherwise(F.col("BMI")))
     assert health.cast_losses(raw).first().BMI == 1
