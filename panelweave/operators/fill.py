@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from panelweave.functions.scalars import round_half_up, store_as
 from panelweave.operators.spread import (
     group_window,
-    is_split,
+    in_parts,
     null_safe_join,
     ordering,
-    split_heavy,
-    unsplit,
     with_group_values,
     with_halo,
     with_last_known,
@@ -62,15 +60,17 @@ def fill_previous_category(
     if mode not in ("lag1", "last_seen"):
         raise ValueError("mode must be lag1 or last_seen")
     order = _order(period, key)
-    out = split_heavy(df, [entity], order) if split else df
-    if mode == "lag1":
-        out = with_halo(out, [entity], order, before=1)
-        previous = F.lag(column).over(group_window(out, [entity]).orderBy(*ordering(order)))
-        out = without_halo(out.withColumn("_previous", previous))
-    else:
-        out = with_last_known(out, [entity], order, column, "_previous")
-    out = out.withColumn(column, F.coalesce(column, "_previous")).drop("_previous")
-    return out if is_split(df) else unsplit(out)
+
+    def filled(rows: DataFrame) -> DataFrame:
+        if mode == "lag1":
+            rows = with_halo(rows, [entity], order, before=1)
+            previous = F.lag(column).over(group_window(rows, [entity]).orderBy(*ordering(order)))
+            rows = without_halo(rows.withColumn("_previous", previous))
+        else:
+            rows = with_last_known(rows, [entity], order, column, "_previous")
+        return rows.withColumn(column, F.coalesce(column, "_previous")).drop("_previous")
+
+    return in_parts(df, [entity], order, filled, split)
 
 
 def group_means(df: DataFrame, group: str, period: str, measures: Sequence[str]) -> DataFrame:
@@ -102,28 +102,29 @@ def fill_neighbours(
     order = _order(period, key)
     if means is None:
         means = group_means(df, group, period, list(rules))
-    out = split_heavy(df, [entity], order) if split else df
-    out = with_halo(out, [entity], order, before=1, after=1)
-    window = group_window(out, [entity]).orderBy(*ordering(order))
-    steps = {}
-    for m in rules:
-        steps[f"_lag_{m}"] = F.lag(m).over(window)
-        steps[f"_lead_{m}"] = F.lead(m).over(window)
-    out = without_halo(out.withColumns(steps))
-
-    ends = {}
     position = F.struct(*order)
+    ends = {}
     for m, rule in rules.items():
         if rule.edge == "first_value":
             ends[f"_first_{m}"] = F.min_by(m, position)
         if rule.edge != "adjacent":
             ends[f"_last_{m}"] = F.max_by(m, position)
-    if ends:
-        out = with_group_values(out, [entity], ends)
-    out = _with_means(out, means, group, period, list(rules))
-    filled = {m: store_as(_filled(m, rule), df.schema[m].dataType) for m, rule in rules.items()}
-    out = out.withColumns(filled).drop(*steps, *ends, *[f"_mean_{m}" for m in rules])
-    return out if is_split(df) else unsplit(out)
+
+    def filled(rows: DataFrame) -> DataFrame:
+        rows = with_halo(rows, [entity], order, before=1, after=1)
+        window = group_window(rows, [entity]).orderBy(*ordering(order))
+        steps = {}
+        for m in rules:
+            steps[f"_lag_{m}"] = F.lag(m).over(window)
+            steps[f"_lead_{m}"] = F.lead(m).over(window)
+        rows = without_halo(rows.withColumns(steps))
+        if ends:
+            rows = with_group_values(rows, [entity], ends)
+        rows = _with_means(rows, means, group, period, list(rules))
+        values = {m: store_as(_filled(m, rule), df.schema[m].dataType) for m, rule in rules.items()}
+        return rows.withColumns(values).drop(*steps, *ends, *[f"_mean_{m}" for m in rules])
+
+    return in_parts(df, [entity], order, filled, split)
 
 
 def _filled(m: str, rule: NeighbourRule) -> Column:

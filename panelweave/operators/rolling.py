@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.spread import (
     group_window,
-    is_split,
+    in_parts,
     ordering,
-    split_heavy,
-    unsplit,
     with_group_values,
     with_halo,
     without_halo,
@@ -33,12 +31,14 @@ def rolling_mean(
     The frame counts rows and the warm-up counts periods since the entity's first.
     """
     order = [period, key] if key else [period]
-    rows = split_heavy(df, [entity], order) if split else df
-    rows = with_halo(rows, [entity], order, before=preceding)
-    frame = group_window(rows, [entity]).orderBy(*ordering(order)).rowsBetween(-preceding, 0)
-    mean = F.avg(F.col(measure).cast("double")).over(frame)
-    rows = without_halo(rows.withColumn(out, mean))
-    rows = with_group_values(rows, [entity], {"_first": F.min(period)})
-    warming = F.col(period) < F.col("_first") + F.lit(warmup)
-    rows = rows.withColumn(out, F.when(warming, F.lit(0.0)).otherwise(F.col(out))).drop("_first")
-    return rows if is_split(df) else unsplit(rows)
+
+    def averaged(rows: DataFrame) -> DataFrame:
+        rows = with_halo(rows, [entity], order, before=preceding)
+        frame = group_window(rows, [entity]).orderBy(*ordering(order)).rowsBetween(-preceding, 0)
+        mean = F.avg(F.col(measure).cast("double")).over(frame)
+        rows = without_halo(rows.withColumn(out, mean))
+        rows = with_group_values(rows, [entity], {"_first": F.min(period)})
+        warming = F.col(period) < F.col("_first") + F.lit(warmup)
+        return rows.withColumn(out, F.when(warming, F.lit(0.0)).otherwise(F.col(out))).drop("_first")
+
+    return in_parts(df, [entity], order, averaged, split)

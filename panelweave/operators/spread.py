@@ -2,14 +2,14 @@
 
 A window over ``entity`` sends all its rows to one task. :func:`split_heavy` counts rows per entity
 first; only if some entity exceeds the limit are that entity's rows cut into contiguous ranges of
-the window order, numbered by the column ``CHUNK`` (0 = not cut). The other functions give windows,
-whole-entity values and running totals that hold across the cuts. Without a heavy entity they are
-plain windows and ``CHUNK`` does not exist.
+the window order, numbered by the column ``CHUNK`` (0 = not cut). :func:`in_parts` keeps them apart from
+all other rows. The other functions give windows, whole-entity values and running totals that hold
+across the cuts. Without a heavy entity they are plain windows and ``CHUNK`` does not exist.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,26 +44,54 @@ def null_safe_join(
     return left.join(right, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def split_heavy(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut groups of ``by`` with too many rows into ranges of ``order``; others stay whole.
+def separate_heavy(
+    df: DataFrame, by: Sequence[str], order: Sequence[str]
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of ordinary groups, and those of groups with too many rows cut into ranges of ``order``.
 
-    ``order`` should be unique within the group, else rows with equal order stay together; names in
-    it may be prefixed with ``-`` for descending. Runs one counting job. ``df`` comes back unchanged
-    if no group is heavy. Otherwise the heavy groups' rows are written once, because every later
-    read must see the same ranges.
+    The second is a written table with ``CHUNK``, because every later read must see the same ranges;
+    either is None if it has no rows to hold. Runs one counting job. ``order`` should be unique within the group, else
+    rows with equal order stay together; names in it may be prefixed with ``-`` for descending.
     """
-    if is_split(df):
-        return df
     heavy, limit = _heavy_groups(df, by)
     if heavy is None:
-        return df
+        return df, None
     pieces = -(-heavy.agg(F.sum("_n")).first()[0] // limit)
     hot, cold = _hot_and_cold(df, by, heavy)
     hot = hot.repartitionByRange(pieces, *by, *ordering(order))
-    hot = pin(hot.withColumn(CHUNK, F.spark_partition_id() + 1), "chunks")
+    return cold, pin(hot.withColumn(CHUNK, F.spark_partition_id() + 1), "chunks")
+
+
+def split_heavy(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Both parts of :func:`separate_heavy` as one table, where ordinary rows have ``CHUNK`` 0.
+
+    ``df`` comes back unchanged if no group is heavy.
+    """
+    if is_split(df):
+        return df
+    cold, hot = separate_heavy(df, by, order)
+    if hot is None:
+        return df
     return hot if cold is None else cold.withColumn(CHUNK, F.lit(0)).unionByName(hot)
 
 
+def in_parts(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    step: Callable[[DataFrame], DataFrame],
+    split: bool = True,
+) -> DataFrame:
+    """``step`` on ordinary groups as they are, and apart from them on heavy ones cut into ranges.
+
+    A ``df`` that is split already, or that has no heavy group by ``split=False``, is one part.
+    """
+    if not split or is_split(df):
+        return step(df)
+    parts = [unsplit(step(part)) for part in separate_heavy(df, by, order) if part is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _heavy_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame | None, int]:
     """Written table of the groups with too many rows, or None, and the limit they exceed."""
     sizes = _group_sizes(df, by)
@@ -178,30 +206,21 @@ def with_group_values(
 ) -> DataFrame:
     """Attach plain aggregates over the whole group to each of its rows.
 
-    A heavy group's come from a map-side combined aggregation with one row per heavy group. With
-    ``split``, heavy groups are looked for, and their rows get the values without being shuffled.
+    With ``split``, groups may have any size: the aggregates are taken in one map-side combined pass,
+    written, and joined back in a second one. Otherwise they are windows, which share the shuffle of
+    the windows around them, and for rows cut into ranges a join with one row per group.
     """
 
-    def in_window(rows):
-        window = group_window(rows, by)
-        return rows.withColumns({name: agg.over(window) for name, agg in values.items()})
-
-    def totals(hot, prefix=""):
-        aggregates = [agg.alias(prefix + name) for name, agg in values.items()]
-        return hot.groupBy(*by).agg(*aggregates)
+    def totals():
+        rows = without_halo(df)
+        return rows.groupBy(*by).agg(*[agg.alias(name) for name, agg in values.items()])
 
-    if not is_split(df):
-        heavy = _heavy_groups(df, by)[0] if split else None
-        if heavy is None:
-            return in_window(df)
-        hot, cold = _hot_and_cold(df, by, heavy)
-        return in_window(cold).unionByName(null_safe_join(hot, totals(hot), by))
-    hot = without_halo(df.filter(F.col(CHUNK) > 0))
-    df = null_safe_join(in_window(df), totals(hot, "_hot_"), by, also=F.col(CHUNK) > 0)
-    for name in values:
-        whole = F.when(F.col(CHUNK) > 0, F.col(f"_hot_{name}")).otherwise(F.col(name))
-        df = df.withColumn(name, whole).drop(f"_hot_{name}")
-    return df
+    if is_split(df):
+        return null_safe_join(df, totals(), by)
+    if split:
+        return null_safe_join(df, pin(totals(), "totals"), by)
+    window = group_window(df, by)
+    return df.withColumns({name: agg.over(window) for name, agg in values.items()})
 
 
 def with_last_known(
@@ -234,10 +253,14 @@ def running_totals(
 ) -> DataFrame:
     """Attach running sums up to and including each row; ``by`` may be empty.
 
-    Rows must be unique on ``by`` + ``order``. The result keeps ``CHUNK`` if a group was split.
-    ``split=False`` says that no group is heavy.
+    Rows must be unique on ``by`` + ``order``. ``split=False`` says that no group is heavy.
     """
-    df = split_heavy(df, by, order) if split else df
+    return in_parts(df, by, order, lambda rows: _running_totals(rows, by, order, totals), split)
+
+
+def _running_totals(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], totals: dict[str, Column]
+) -> DataFrame:
     window = group_window(df, by).orderBy(*ordering(order))
     window = window.rowsBetween(Window.unboundedPreceding, 0)
     running = df.withColumns({name: F.sum(term).over(window) for name, term in totals.items()})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import round_half_up
 from panelweave.operators.spread import (
-    has_heavy_group,
+    in_parts,
     running_totals,
     with_group_values,
 )
@@ -23,8 +23,8 @@ def describe_by_group(
     """Mean, minimum, maximum and exact median of ``measure`` per entity.
 
     ``nulls='first'`` ranks NULLs before all values but takes the middle ranks of the known values
-    only, so an entity with gaps gets a lower median; ``skip`` is the usual median. Entities too
-    large for one task take their median from running counts over their distinct values.
+    only, so an entity with gaps gets a lower median; ``skip`` is the usual median. Medians come from
+    running counts over an entity's distinct values, which can spill and are split where they are many.
     """
     if nulls not in NULL_RANKS:
         raise ValueError(f"nulls must be one of {NULL_RANKS}")
@@ -34,15 +34,15 @@ def describe_by_group(
         F.min("_v").alias("minimum"),
         F.max("_v").alias("maximum"),
     ]
-    if nulls == "skip" and not has_heavy_group(rows, [entity]):
-        median = round_half_up(F.median("_v").cast("double"), digits)
-        return rows.groupBy(entity).agg(*basic, median.alias("median"))
-
     levels = rows.groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranked = levels if nulls == "first" else levels.filter(F.col("_v").isNotNull())
-    ranked = running_totals(ranked, [entity], ["_v"], {"_upto": F.col("_n")})
     known = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
-    ranked = with_group_values(ranked, [entity], {"_known": known})
+
+    def counted(levels: DataFrame) -> DataFrame:
+        levels = running_totals(levels, [entity], ["_v"], {"_upto": F.col("_n")}, split=False)
+        return with_group_values(levels, [entity], {"_known": known})
+
+    ranked = in_parts(ranked, [entity], ["_v"], counted)
     n = F.coalesce(F.col("_known"), F.lit(0))
     low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
 

@@ -12,7 +12,6 @@ from panelweave.operators.spread import (
     has_heavy_group,
     null_safe_join,
     running_totals,
-    unsplit,
 )
 from panelweave.operators.summary import mean_of_sums, partial_sums
 from panelweave.sources.workspace import pin
@@ -51,13 +50,13 @@ def pareto_tiers(
         value = F.avg(measure)
     else:
         raise ValueError("stat must be latest or mean")
-    values = pin(df.groupBy(entity).agg(value.cast("double").alias("_value")), "values")
+    values = df.groupBy(entity).agg(value.cast("double").alias("_value"))
     total = values.agg(F.sum("_value")).scalar()
     share = round_half_up(ratio(F.col("_value"), F.col("_total")) * 100, digits)
     shares = values.withColumn("_total", total).select(
         entity, share.cast(f"decimal({16 + digits},{digits})").alias("percent_in_total")
     )
-    # Written, since a total of doubles summed again in another order could move a share.
+    # The only table written: a total of doubles summed again in another order could move a share.
     shares = pin(shares, "shares")
     added = shares.agg(F.sum("percent_in_total")).first()[0]
     if added is not None and abs(added - 100) > 0.5:
@@ -71,12 +70,12 @@ def pareto_tiers(
     levels = running_totals(
         levels, [], ["-percent_in_total"], {"rolling_percent": F.col("_level")}, split
     )
-    levels = pin(levels.select("percent_in_total", "rolling_percent"), "levels")
+    levels = levels.select("percent_in_total", "rolling_percent")
     if position:
         shares = running_totals(
             shares, [], ["-percent_in_total", entity], {"counting": F.lit(1)}, split
         )
-    tiers = null_safe_join(unsplit(shares), levels, ["percent_in_total"])
+    tiers = null_safe_join(shares, levels, ["percent_in_total"])
     columns = [entity, "percent_in_total", "rolling_percent"] + ["counting"] * position
     return tiers.select(*columns, tier_label(F.col("rolling_percent"), cuts).alias(out))
 

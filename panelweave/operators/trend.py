@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import trend_label
-from panelweave.operators.spread import running_totals, span_fits, unsplit, with_group_values
+from panelweave.operators.spread import in_parts, running_totals, span_fits, with_group_values
 
 
 def trend_slope(
@@ -34,21 +34,24 @@ def trend_slope(
             F.sum(value).alias("_sum"),
         )
     )
-    split = not span_fits(df, period)
-    cells = running_totals(cells, [entity], [period], {"_upto": F.col("_rows")}, split)
-    rank = (F.col("_upto") - F.col("_rows") + 1).cast("double")
     weight = F.col("_known") if pairwise else F.col("_rows")
-    cells = cells.withColumn("_x", rank).withColumn("_w", weight.cast("double"))
-    cells = with_group_values(
-        cells,
-        [entity],
-        {
-            "_wx": F.sum(F.col("_w") * F.col("_x")),
-            "_weights": F.sum("_w"),
-            "_total": F.sum("_sum"),
-            "_count": F.sum("_known"),
-        },
-    )
+
+    def placed(cells: DataFrame) -> DataFrame:
+        cells = running_totals(cells, [entity], [period], {"_upto": F.col("_rows")}, split=False)
+        rank = (F.col("_upto") - F.col("_rows") + 1).cast("double")
+        cells = cells.withColumn("_x", rank).withColumn("_w", weight.cast("double"))
+        return with_group_values(
+            cells,
+            [entity],
+            {
+                "_wx": F.sum(F.col("_w") * F.col("_x")),
+                "_weights": F.sum("_w"),
+                "_total": F.sum("_sum"),
+                "_count": F.sum("_known"),
+            },
+        )
+
+    cells = in_parts(cells, [entity], [period], placed, split=not span_fits(df, period))
     x = F.col("_x") - F.try_divide(F.col("_wx"), F.col("_weights"))
     # Values relative to the entity's mean average to 1.
     mean = F.try_divide(F.col("_total"), F.col("_count"))
@@ -60,7 +63,7 @@ def trend_slope(
             "_size": F.abs(x) * (F.abs(share) + F.col("_known")),
         }
     )
-    sums = unsplit(cells).groupBy(entity).agg(*[F.sum(c).alias(c) for c in ("_xy", "_xx", "_size")])
+    sums = cells.groupBy(entity).agg(*[F.sum(c).alias(c) for c in ("_xy", "_xx", "_size")])
     slope = F.try_divide("_xy", "_xx")
     trend = trend_label(slope, F.col("_xy"), F.col("_size"))
     slopes = sums.select(entity, slope.alias("slope"), trend.alias("trend"))

@@ -128,13 +128,15 @@ def apply_corrections(spark, folder):
 
 
 def apply_corrections_only_null(spark, folder):
-    """Missing amounts take the customer's account balance."""
-    panel = customer_year(spark, folder)
+    """Missing amounts of every year take the customer's account balance."""
+    panel = stored_customers(spark, folder)
     customers = table(spark, folder, "customer").select(
-        (F.col("c_custkey") * 10000 + 2000).alias(ID), F.col("c_acctbal").alias("balance")
+        F.col("c_custkey").cast("bigint").alias(ENTITY), F.col("c_acctbal").alias("balance")
     )
+    balances = panel.filter("m1 IS NULL").select(ID, ENTITY).join(customers, ENTITY)
     updates = {"m1": "fix_balance"}
-    return rounded(ops.apply_corrections(panel, customers, ID, updates, only_null=True))
+    corrections = balances.select(ID, "balance")
+    return rounded(ops.apply_corrections(panel, corrections, ID, updates, only_null=True))
 
 
 def delete_by_key(spark, folder):
@@ -179,7 +181,8 @@ def _neighbours(rule: NeighbourRule) -> Query:
 
 
 def fill_mean_cascade(spark, folder):
-    """Users without a click-less day of their own take the group's mean of the day."""
+    """Gaps take the user's mean. Every third user has no clicks known and takes the group's mean of the
+    day; those known values are blanked here to give the cascade its second step."""
     panel = stored_users(spark, folder)
     sparse = panel.withColumn("m2", F.when(F.col(ENTITY) % 3 != 0, F.col("m2")))
     filled = ops.fill_mean_cascade(sparse, ENTITY, PERIOD, "seg", ["m1", "m2"])
@@ -283,7 +286,7 @@ def pearson_pairwise(spark, folder):
 
 
 def customer_tiers(panel: DataFrame) -> DataFrame:
-    return materialize(ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD))
+    return ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD)
 
 
 def pearson_by_tier(spark, folder):
@@ -309,8 +312,8 @@ def mean_by_tier(spark, folder):
 
 def mean_by_two_tiers(spark, folder):
     panel = stored_customers(spark, folder)
-    first = materialize(ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier"))
-    second = materialize(ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier"))
+    first = ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier")
+    second = ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier")
     means = ops.mean_by_two_tiers(panel, first, second, ENTITY, "m1", "m1_tier", "m2_tier")
     return rounded(means)
 
@@ -347,7 +350,7 @@ def mean_by_region(spark, folder):
 
 
 def gappy_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order; the amounts of pending orders are unknown."""
+    """One row per order. Known amounts of pending orders are blanked, so that there are gaps to fill."""
     priority = F.col("o_orderpriority").alias("seg")
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias(ID),
@@ -415,7 +418,7 @@ def pareto_tiers_parts(spark, folder):
 
 def mean_by_tier_parts(spark, folder):
     lines = lines_by_part(spark, folder)
-    tiers = materialize(ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", position=False))
+    tiers = ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", position=False)
     return rounded(ops.mean_by_tier(lines, tiers, ENTITY, "m1"))
 
 

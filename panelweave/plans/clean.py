@@ -23,7 +23,7 @@ from panelweave.operators.repair import (
     replace_low_outliers,
     replace_out_of_range,
 )
-from panelweave.operators.spread import is_split, split_heavy, unsplit
+from panelweave.operators.spread import is_split, separate_heavy, unsplit
 from panelweave.sources.workspace import pin
 
 
@@ -76,21 +76,40 @@ def clean_panel(raw: DataFrame, spec: CleaningSpec) -> DataFrame:
 
     Fills run before the dedupe, so repeated rows are neighbours too. All steps keep the rows
     partitioned by entity, so they share one shuffle; the group means are computed once for all
-    fills, on a second pass. If an entity is too large for one task, each step is written before
-    the next, because a step over split entities reads its input more than once.
+    fills, on a second pass. Entities too large for one task are cleaned apart from the others: their
+    rows alone are written between the steps, because a step over split entities reads its input
+    more than once. Both parts use the same group means.
     """
-    df = prepare_panel(raw, spec)
-    df = split_heavy(df, [spec.entity], [spec.period, spec.key])
-
+    order = [spec.period, spec.key]
+    parts = separate_heavy(prepare_panel(raw, spec), [spec.entity], order)
+    parts = [part for part in parts if part is not None]
     if spec.previous_category:
-        df = _settle(
-            fill_previous_category(
-                df, spec.entity, spec.period, spec.previous_category, spec.key, split=False
-            )
-        )
+        parts = [_fill_category(part, spec) for part in parts]
+    means = None
     filled = [*spec.neighbour_fills, *spec.mean_fills]
     if filled:
-        means = group_means(df, spec.group, spec.period, filled)
+        columns = list(dict.fromkeys([spec.group, spec.period, *filled]))
+        known = [part.select(*columns) for part in parts]
+        means = group_means(
+            known[0] if len(known) == 1 else known[0].unionByName(known[1]),
+            spec.group,
+            spec.period,
+            filled,
+        )
+    parts = [unsplit(_clean_part(part, spec, means)) for part in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _fill_category(df: DataFrame, spec: CleaningSpec) -> DataFrame:
+    return _settle(
+        fill_previous_category(
+            df, spec.entity, spec.period, spec.previous_category, spec.key, split=False
+        )
+    )
+
+
+def _clean_part(df: DataFrame, spec: CleaningSpec, means: DataFrame | None) -> DataFrame:
+    """The steps after the group means, on ordinary entities or on split ones."""
     if spec.neighbour_fills:
         df = _settle(
             fill_neighbours(
@@ -114,7 +133,6 @@ def clean_panel(raw: DataFrame, spec: CleaningSpec) -> DataFrame:
         df = _settle(replace_low_outliers(df, spec.entity, spec.low_outliers, split=False))
     if spec.ranges:
         df = replace_out_of_range(df, spec.entity, spec.ranges, split=False)
-    df = unsplit(df)
     if spec.ratio:
         r = spec.ratio
         df = derive_ratio(df, r.num, r.den, r.out, r.digits, r.factor)

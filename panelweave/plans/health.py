@@ -27,7 +27,6 @@ from panelweave.operators import (
     trend_slope,
 )
 from panelweave.plans.clean import CleaningSpec, Ratio, clean_panel, prepare_panel
-from panelweave.sources import materialize
 
 ENTITY, PERIOD, GROUP, KEY = "Country", "Year", "Status", "Row_ID"
 
@@ -162,7 +161,7 @@ def gdp_tiers(panel: DataFrame) -> DataFrame:
     tiers = pareto_tiers(
         panel, ENTITY, "GDP", GDP_CUTS, period=PERIOD, out="GDP_tier", position=False
     )
-    return materialize(tiers.select(ENTITY, "GDP_tier"))
+    return tiers.select(ENTITY, "GDP_tier")
 
 
 def life_expectancy_by_gdp(panel: DataFrame) -> DataFrame:
@@ -170,13 +169,11 @@ def life_expectancy_by_gdp(panel: DataFrame) -> DataFrame:
 
 
 def measles_tiers(panel: DataFrame) -> DataFrame:
-    tiers = pareto_tiers(panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier")
-    return materialize(tiers)
+    return pareto_tiers(panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier")
 
 
 def polio_tiers(panel: DataFrame) -> DataFrame:
-    tiers = pareto_tiers(panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier")
-    return materialize(tiers)
+    return pareto_tiers(panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier")
 
 
 def life_expectancy_by_disease(panel: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def health_staging(spark: SparkSession, folder: str) -> DataFrame:
     """A raw health panel, all text with blanks, whose measures come from the order lines.
 
     Customers stand for countries. A customer's urgent and other orders of a year are separate
-    rows, so keys repeat; years without orders are blank.
+    rows, so keys repeat; years without orders are blank. Some known values are blanked too, so that every
+    column has gaps to fill.
     """
     orders = table(spark, folder, "orders").select(
         "o_orderkey",

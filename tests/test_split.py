@@ -19,7 +19,9 @@ from panelweave import (
     trend_slope,
 )
 from panelweave.operators.spread import CHUNK, rows_per_chunk, split_heavy
+from panelweave.plans import clean
 from panelweave.plans.clean import CleaningSpec, Ratio, clean_panel
+from panelweave.sources import pin
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +135,43 @@ def test_limit_does_not_grow_with_the_rows_or_partitions(spark):
 
 def test_even_panels_are_left_alone(panel):
     assert split_heavy(panel, ["entity"], ["period"]) is panel
+
+
+def test_cleaning_writes_only_heavy_rows_between_steps(spark, panel, monkeypatch):
+    written = []
+
+    def recorded(df, label="t"):
+        table = pin(df, label)
+        written.append((label, table))
+        return table
+
+    monkeypatch.setattr(clean, "pin", recorded)
+    spark.conf.set("spark.panelweave.rowsPerChunk", "150")
+    try:
+        cleaned = clean_panel(panel, SPEC)
+    finally:
+        spark.conf.unset("spark.panelweave.rowsPerChunk")
+    assert [label for label, _ in written] == ["step"] * 4
+    for _, table in written:
+        assert {r.entity for r in table.select("entity").distinct().collect()} == {"hot"}
+    # Rows of ordinary entities: one shuffle by entity, below one sort, for all windows.
+    cold = cleaned._jdf.queryExecution().executedPlan().toString().split("\n")
+    union = next(i for i, line in enumerate(cold) if "Union" in line)
+    depth = cold[union].index("Union")
+    second = [i for i, line in enumerate(cold) if i > union and line[depth : depth + 2] == "+-"][0]
+    branch = "\n".join(cold[union:second])
+    assert branch.count("- Exchange hashpartitioning") == 1 and branch.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("limit", ["25", "2000000"])
+def test_whole_entity_values_scan_twice(spark, panel, limit):
+    spark.conf.set("spark.panelweave.rowsPerChunk", limit)
+    try:
+        repaired = replace_low_outliers(panel, "entity", {"v": 2})
+    finally:
+        spark.conf.unset("spark.panelweave.rowsPerChunk")
+    # The first scan wrote the totals; this is the second one, joined with them.
+    files = repaired.inputFiles()
+    assert sum("panelweave" not in f for f in files) == len(panel.inputFiles())
+    plan = repaired._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Window" not in plan
