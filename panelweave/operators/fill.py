@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.scalars import round_half_up, store_as
 from panelweave.operators.spread import (
@@ -121,23 +122,24 @@ def fill_neighbours(
         if ends:
             rows = with_group_values(rows, [entity], ends)
         rows = _with_means(rows, means, group, period, list(rules))
-        values = {m: store_as(_filled(m, rule), df.schema[m].dataType) for m, rule in rules.items()}
+        values = {m: _filled(m, rule, df.schema[m].dataType) for m, rule in rules.items()}
         return rows.withColumns(values).drop(*steps, *ends, *[f"_mean_{m}" for m in rules])
 
     return in_parts(df, [entity], order, filled, split)
 
 
-def _filled(m: str, rule: NeighbourRule) -> Column:
+def _filled(m: str, rule: NeighbourRule, dtype: T.DataType) -> Column:
     lag, lead, mean = F.col(f"_lag_{m}"), F.col(f"_lead_{m}"), F.col(f"_mean_{m}")
     middle = (lag + lead) / 2
     if rule.digits is not None:
-        middle, mean = round_half_up(middle, rule.digits), round_half_up(mean, rule.digits)
+        middle = round_half_up(middle, rule.digits, dtype)
+        mean = round_half_up(mean, rule.digits, dtype)
     after_gap = F.col(f"_first_{m}") if rule.edge == "first_value" else lead
     before_gap = lag if rule.edge == "adjacent" else F.col(f"_last_{m}")
     one_sided = F.when(lag.isNull(), after_gap).otherwise(before_gap)
     alone = F.coalesce(lag, lead).isNull()
     # The midpoint is NULL unless both neighbours are known.
-    return F.coalesce(F.col(m), middle, F.when(alone, mean).otherwise(one_sided))
+    return store_as(F.coalesce(F.col(m), middle, F.when(alone, mean).otherwise(one_sided)), dtype)
 
 
 def fill_mean_cascade(

@@ -36,7 +36,8 @@ def replace_low_outliers(
     repaired = {}
     for m, places in digits.items():
         mean = F.col(f"_own_{m}")
-        replacement = store_as(round_half_up(mean, places), df.schema[m].dataType)
+        dtype = df.schema[m].dataType
+        replacement = store_as(round_half_up(mean, places, dtype), dtype)
         repaired[m] = F.when(below(F.col(m), mean / divisor), replacement).otherwise(F.col(m))
     return out.withColumns(repaired).drop(*[f"_own_{m}" for m in digits])
 
