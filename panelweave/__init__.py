@@ -8,6 +8,7 @@ from panelweave.sources import (
     pin,
     read_raw,
     release,
+    scope,
     write_panel,
 )
 
@@ -18,5 +19,6 @@ __all__ = [
     "pin",
     "read_raw",
     "release",
+    "scope",
     "write_panel",
 ]

@@ -3,6 +3,7 @@ from panelweave.operators.correlate import pearson, pearson_by_group
 from panelweave.operators.extremes import extreme_group_profile, rows_at_extremes
 from panelweave.operators.fill import (
     NeighbourRule,
+    fill_across,
     fill_mean_cascade,
     fill_neighbours,
     fill_previous_category,
@@ -44,6 +45,7 @@ __all__ = [
     "describe_by_group",
     "distinct_values",
     "extreme_group_profile",
+    "fill_across",
     "fill_mean_cascade",
     "fill_neighbours",
     "fill_previous_category",

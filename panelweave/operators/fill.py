@@ -11,18 +11,22 @@ from pyspark.sql import types as T
 
 from panelweave.functions.scalars import round_half_up, store_as
 from panelweave.operators.spread import (
+    TIE,
     group_window,
     in_parts,
     null_safe_join,
     ordering,
+    total_order,
     with_group_values,
     with_halo,
     with_last_known,
     without_halo,
 )
+from panelweave.operators.summary import exact_medians
 from panelweave.sources.workspace import pin
 
 EDGES = ("first_value", "lead_then_last", "adjacent")
+ACROSS = ("nearest", "linear")
 
 
 @dataclass(frozen=True)
@@ -60,7 +64,7 @@ def fill_previous_category(
     """Fill a category from the row before (``lag1``) or the last known one (``last_seen``)."""
     if mode not in ("lag1", "last_seen"):
         raise ValueError("mode must be lag1 or last_seen")
-    order = _order(period, key)
+    df, order = total_order(df, period, key)
 
     def filled(rows: DataFrame) -> DataFrame:
         if mode == "lag1":
@@ -71,7 +75,7 @@ def fill_previous_category(
             rows = with_last_known(rows, [entity], order, column, "_previous")
         return rows.withColumn(column, F.coalesce(column, "_previous")).drop("_previous")
 
-    return in_parts(df, [entity], order, filled, split)
+    return in_parts(df, [entity], order, filled, split).drop(TIE)
 
 
 def group_means(df: DataFrame, group: str, period: str, measures: Sequence[str]) -> DataFrame:
@@ -97,10 +101,10 @@ def fill_neighbours(
     """Fill each measure's gaps from the adjacent rows by its :class:`NeighbourRule`.
 
     All measures share one window over the entity. ``means`` may pass a table made by
-    :func:`group_means` that several fills use. ``key`` breaks ties between rows of one period; it
-    is needed where a period may repeat very often within an entity.
+    :func:`group_means` that several fills use. ``key`` orders rows of one period; without it a
+    hash of the row does.
     """
-    order = _order(period, key)
+    df, order = total_order(df, period, key)
     if means is None:
         means = group_means(df, group, period, list(rules))
     position = F.struct(*order)
@@ -125,7 +129,7 @@ def fill_neighbours(
         values = {m: _filled(m, rule, df.schema[m].dataType) for m, rule in rules.items()}
         return rows.withColumns(values).drop(*steps, *ends, *[f"_mean_{m}" for m in rules])
 
-    return in_parts(df, [entity], order, filled, split)
+    return in_parts(df, [entity], order, filled, split).drop(TIE)
 
 
 def _filled(m: str, rule: NeighbourRule, dtype: T.DataType) -> Column:
@@ -142,19 +146,89 @@ def _filled(m: str, rule: NeighbourRule, dtype: T.DataType) -> Column:
     return store_as(F.coalesce(F.col(m), middle, F.when(alone, mean).otherwise(one_sided)), dtype)
 
 
-def fill_mean_cascade(
+def fill_across(
     df: DataFrame,
     entity: str,
     period: str,
     group: str,
     measures: Sequence[str],
+    method: str = "linear",
+    key: str | None = None,
     means: DataFrame | None = None,
     split: bool = True,
 ) -> DataFrame:
-    """Fill gaps with the entity's mean, or the group's mean for the period if it has no value."""
+    """Fill runs of gaps of any length from the known rows on either side of the run.
+
+    ``linear`` draws a line between them over the period, a number or a date; rows of one period take
+    their midpoint. ``nearest`` takes the one whose period is closer, the earlier one if both are equally
+    close. A run at an end of the entity takes its one known neighbour, and an entity without any known
+    value the group's mean for the period. The result takes the column's own type.
+    """
+    if method not in ACROSS:
+        raise ValueError(f"method must be one of {ACROSS}")
     if means is None:
         means = group_means(df, group, period, measures)
-    out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in measures}, split)
+    df, order = total_order(df, period, key)
+    place = F.col(period)
+    if isinstance(df.schema[period].dataType, T.DateType):
+        place = F.unix_date(place)
+    place = place.cast("double")
+
+    def filled(rows: DataFrame) -> DataFrame:
+        for m in measures:
+            known = F.struct(F.col(m).alias("value"), place.alias("place"))
+            rows = rows.withColumn(f"_known_{m}", F.when(F.col(m).isNotNull(), known))
+        # All of one direction first: they share a sort.
+        for side, reverse in (("before", False), ("after", True)):
+            for m in measures:
+                rows = with_last_known(
+                    rows, [entity], order, f"_known_{m}", f"_{side}_{m}", reverse
+                )
+        rows = _with_means(rows, means, group, period, measures)
+        values = {m: _across(m, place, method, df.schema[m].dataType) for m in measures}
+        helpers = [f"_{part}_{m}" for m in measures for part in ("known", "before", "after", "mean")]
+        return rows.withColumns(values).drop(*helpers)
+
+    return in_parts(df, [entity], order, filled, split).drop(TIE)
+
+
+def _across(m: str, place: Column, method: str, dtype: T.DataType) -> Column:
+    before, after = F.col(f"_before_{m}"), F.col(f"_after_{m}")
+    since, until = place - before["place"], after["place"] - place
+    if method == "nearest":
+        between = F.when(until < since, after["value"]).otherwise(before["value"])
+    else:
+        part = F.coalesce(F.try_divide(since, since + until), F.lit(0.5))
+        low, high = before["value"].cast("double"), after["value"].cast("double")
+        between = low + (high - low) * part
+    between = F.when(before.isNotNull() & after.isNotNull(), between)
+    one_sided = F.coalesce(before["value"], after["value"], F.col(f"_mean_{m}"))
+    return F.coalesce(F.col(m), store_as(F.coalesce(between, one_sided), dtype))
+
+
+def fill_mean_cascade(
+    df: DataFrame,
+    entity: str,
+    period: str,
+    group: str,
+    measures: Sequence[str],
+    means: DataFrame | None = None,
+    split: bool = True,
+    stat: str = "mean",
+) -> DataFrame:
+    """Fill gaps with the entity's mean, or the group's mean for the period if it has no value.
+
+    ``stat="median"`` takes the median of both instead; ``means`` is then not used.
+    """
+    if stat not in ("mean", "median"):
+        raise ValueError("stat must be mean or median")
+    if stat == "median":
+        means = _medians(df, [group, period], measures, "_mean_")
+        out = null_safe_join(df, _medians(df, [entity], measures, "_own_"), [entity])
+    else:
+        if means is None:
+            means = group_means(df, group, period, measures)
+        out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in measures}, split)
     out = _with_means(out, means, group, period, measures)
     filled = {
         m: F.coalesce(
@@ -167,12 +241,18 @@ def fill_mean_cascade(
     return out.drop(*[f"_own_{m}" for m in measures], *[f"_mean_{m}" for m in measures])
 
 
+def _medians(df: DataFrame, by: Sequence[str], measures: Sequence[str], prefix: str) -> DataFrame:
+    """Written table of the exact median of each measure per ``by``; one row for every group."""
+    table = df.select(*by).distinct()
+    for m in measures:
+        median = exact_medians(df, by, m).withColumnRenamed("_median", f"{prefix}{m}")
+        table = null_safe_join(table, median, by)
+    return pin(table, "medians")
+
+
 def _with_means(
     df: DataFrame, means: DataFrame, group: str, period: str, measures: Sequence[str]
 ) -> DataFrame:
     wanted = means.select(group, period, *[f"_mean_{m}" for m in measures])
     return null_safe_join(df, wanted, [group, period])
 
-
-def _order(period: str, key: str | None) -> list[str]:
-    return [period, key] if key else [period]

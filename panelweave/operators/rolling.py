@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.spread import (
+    TIE,
     group_window,
     in_parts,
     ordering,
+    total_order,
     with_group_values,
     with_halo,
     without_halo,
@@ -30,7 +32,7 @@ def rolling_mean(
 
     The frame counts rows and the warm-up counts periods since the entity's first.
     """
-    order = [period, key] if key else [period]
+    df, order = total_order(df, period, key)
 
     def averaged(rows: DataFrame) -> DataFrame:
         rows = with_halo(rows, [entity], order, before=preceding)
@@ -41,4 +43,4 @@ def rolling_mean(
         warming = F.col(period) < F.col("_first") + F.lit(warmup)
         return rows.withColumn(out, F.when(warming, F.lit(0.0)).otherwise(F.col(out))).drop("_first")
 
-    return in_parts(df, [entity], order, averaged, split)
+    return in_parts(df, [entity], order, averaged, split).drop(TIE)

@@ -19,6 +19,7 @@ from panelweave.sources.workspace import pin
 
 CHUNK = "_chunk"
 HALO = "_halo"
+TIE = "_tie"
 
 ROWS_PER_CHUNK = 2_000_000
 ROWS_SETTING = "spark.panelweave.rowsPerChunk"
@@ -75,6 +76,17 @@ def split_heavy(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
     return hot if cold is None else cold.withColumn(CHUNK, F.lit(0)).unionByName(hot)
 
 
+def total_order(df: DataFrame, period: str, key: str | None) -> tuple[DataFrame, list[str]]:
+    """``df`` and an order of its rows by ``period``, in which only equal rows may tie.
+
+    Without a ``key``, the column ``TIE``, a hash of the row, orders the rows of a period, so that they can
+    be cut into ranges however many there are.
+    """
+    if key:
+        return df, [period, key]
+    return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), [period, TIE]
+
+
 def in_parts(
     df: DataFrame,
     by: Sequence[str],
@@ -224,22 +236,30 @@ def with_group_values(
 
 
 def with_last_known(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, out: str
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    column: str,
+    out: str,
+    reverse: bool = False,
 ) -> DataFrame:
-    """Attach the latest known value of ``column`` up to and including each row."""
-    window = group_window(df, by).orderBy(*ordering(order))
+    """Attach the latest known value of ``column`` up to and including each row.
+
+    ``reverse`` gives the next known one instead, from the row itself on.
+    """
+    window = group_window(df, by).orderBy(*ordering(order, reverse))
     window = window.rowsBetween(Window.unboundedPreceding, 0)
     seen = df.withColumn(out, F.last(column, ignorenulls=True).over(window))
     if not is_split(df):
         return seen
     known = df.filter((F.col(CHUNK) > 0) & F.col(column).isNotNull())
     ends = df.filter(F.col(CHUNK) > 0).select(*by, CHUNK).distinct()
-    lasts = known.groupBy(*by, CHUNK).agg(F.max_by(column, F.struct(*order)).alias("_end"))
+    outermost = F.min_by if reverse else F.max_by
+    lasts = known.groupBy(*by, CHUNK).agg(outermost(column, F.struct(*order)).alias("_end"))
     ends = null_safe_join(ends, lasts, [*by, CHUNK])
-    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        *by, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
-    )
+    passed = Window.partitionBy(*by).orderBy(*ordering([CHUNK], reverse))
+    passed = passed.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*by, CHUNK, F.last("_end", ignorenulls=True).over(passed).alias("_carry"))
     seen = null_safe_join(seen, carry, [*by, CHUNK])
     return seen.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
 

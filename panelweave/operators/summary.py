@@ -34,15 +34,28 @@ def describe_by_group(
         F.min("_v").alias("minimum"),
         F.max("_v").alias("maximum"),
     ]
-    levels = rows.groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    medians = exact_medians(rows, [entity], "_v", nulls)
+    median = round_half_up(F.col("_median"), digits)
+    medians = medians.select(entity, median.alias("median"))
+    return rows.groupBy(entity).agg(*basic).join(medians, entity, "left")
+
+
+def exact_medians(
+    df: DataFrame, by: Sequence[str], measure: str, nulls: str = "skip"
+) -> DataFrame:
+    """Median of ``measure`` per ``by`` as ``_median``, from running counts over the distinct values.
+
+    Groups without a value may be missing. ``nulls`` as in :func:`describe_by_group`.
+    """
+    levels = df.groupBy(*by, F.col(measure).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = levels if nulls == "first" else levels.filter(F.col("_v").isNotNull())
     known = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
 
     def counted(levels: DataFrame) -> DataFrame:
-        levels = running_totals(levels, [entity], ["_v"], {"_upto": F.col("_n")}, split=False)
-        return with_group_values(levels, [entity], {"_known": known})
+        levels = running_totals(levels, by, ["_v"], {"_upto": F.col("_n")}, split=False)
+        return with_group_values(levels, by, {"_known": known})
 
-    ranked = in_parts(ranked, [entity], ["_v"], counted)
+    ranked = in_parts(ranked, by, ["_v"], counted)
     n = F.coalesce(F.col("_known"), F.lit(0))
     low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
 
@@ -52,9 +65,7 @@ def describe_by_group(
     hits = covers(low).cast("int") + (covers(high) & (high != low)).cast("int")
     ranked = ranked.withColumn("_hits", F.when(F.col("_v").isNotNull(), hits))
     weighted = F.sum(F.col("_v").cast("double") * F.col("_hits"))
-    median = round_half_up(F.try_divide(weighted, F.sum("_hits")), digits)
-    medians = ranked.groupBy(entity).agg(median.alias("median"))
-    return rows.groupBy(entity).agg(*basic).join(medians, entity, "left")
+    return ranked.groupBy(*by).agg(F.try_divide(weighted, F.sum("_hits")).alias("_median"))
 
 
 def latest_group_mean(

@@ -180,6 +180,14 @@ def _neighbours(rule: NeighbourRule) -> Query:
     return query
 
 
+def _across(method: str) -> Query:
+    def query(spark, folder):
+        panel = stored_customers(spark, folder)
+        return rounded(ops.fill_across(panel, ENTITY, PERIOD, "seg", ["m1", "m2"], method, ID), 4)
+
+    return query
+
+
 def fill_mean_cascade(spark, folder):
     """Gaps take the user's mean. Every third user has no clicks known and takes the group's mean of the
     day; those known values are blanked here to give the cascade its second step."""
@@ -189,6 +197,14 @@ def fill_mean_cascade(spark, folder):
     return rounded(filled)
 
 
+def fill_median_cascade(spark, folder):
+    """As the mean cascade, with the user's median and the group's median of the day."""
+    panel = stored_users(spark, folder)
+    sparse = panel.withColumn("m2", F.when(F.col(ENTITY) % 3 != 0, F.col("m2")))
+    filled = ops.fill_mean_cascade(sparse, ENTITY, PERIOD, "seg", ["m1", "m2"], stat="median")
+    return rounded(filled)
+
+
 # Quality
 
 
@@ -497,7 +513,10 @@ QUERIES: dict[str, Query] = {
     "fill_first_value": _neighbours(NeighbourRule("first_value")),
     "fill_lead_then_last": _neighbours(NeighbourRule("lead_then_last", 2)),
     "fill_adjacent": _neighbours(NeighbourRule("adjacent", 2)),
+    "fill_nearest": _across("nearest"),
+    "fill_linear": _across("linear"),
     "fill_mean_cascade": fill_mean_cascade,
+    "fill_median_cascade": fill_median_cascade,
     "dedupe_keyed": dedupe_keyed,
     "low_outliers": low_outliers,
     "low_outliers_lines": low_outliers_lines,

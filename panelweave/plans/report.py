@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.plans import health
-from panelweave.sources import read_raw, release, write_panel
+from panelweave.sources import read_raw, release, scope, write_panel
 
 
 def write_report(
@@ -28,14 +28,18 @@ def write_report(
     write_panel(health.audit_health_panel(raw), f"{out}/audit")
     write_panel(health.cast_losses(raw), f"{out}/cast_losses")
     write_panel(health.missing_gdp(raw), f"{out}/missing_gdp")
-    write_panel(health.clean_health_panel(raw), f"{out}/panel")
+    with scope(spark):
+        write_panel(health.clean_health_panel(raw), f"{out}/panel")
     panel = spark.read.parquet(f"{out}/panel")
-    answers = {name: ask(panel) for name, ask in health.QUESTIONS.items()}
+    questions = dict(health.QUESTIONS)
     if regions is not None:
-        answers["life_expectancy_by_region"] = health.life_expectancy_by_region(panel, regions)
-    for name, answer in answers.items():
-        write_panel(answer, f"{out}/{name}")
-    return ["staging", "audit", "cast_losses", "missing_gdp", "panel", *answers]
+        questions["life_expectancy_by_region"] = lambda panel: health.life_expectancy_by_region(
+            panel, regions
+        )
+    for name, ask in questions.items():
+        with scope(spark):
+            write_panel(ask(panel), f"{out}/{name}")
+    return ["staging", "audit", "cast_losses", "missing_gdp", "panel", *questions]
 
 
 def main(raw: str, out: str, fmt: str = "csv", regions: str | None = None) -> None:

@@ -1,4 +1,4 @@
 from panelweave.sources.staging import read_raw, write_panel
-from panelweave.sources.workspace import drop_materialized, materialize, pin, release
+from panelweave.sources.workspace import drop_materialized, materialize, pin, release, scope
 
-__all__ = ["drop_materialized", "materialize", "pin", "read_raw", "release", "write_panel"]
+__all__ = ["drop_materialized", "materialize", "pin", "read_raw", "release", "scope", "write_panel"]

@@ -10,10 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/panelweave-{spark.conf.get('spark.app.id')}"
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables pinned inside, and no others, at the end. Store or count results before that."""
+    name = f"scope-{uuid.uuid4().hex}"
+    outer = _scope.set(f"{_scope.get()}/{name}")
+    try:
+        yield
+    finally:
+        folder = shared_folder(spark) + _scope.get()
+        _scope.reset(outer)
+        _delete(spark, folder)
+
+
 def pin(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}{_scope.get()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,5 +77,10 @@ def drop_materialized(spark: SparkSession, *names: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application pinned. Call only when no result needs them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    # Spark's Python side has no call to delete files on the cluster's storage.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from conftest import by_entity
 
 from panelweave import (
     NeighbourRule,
+    fill_across,
     fill_mean_cascade,
     fill_neighbours,
     fill_previous_category,
@@ -79,12 +80,59 @@ def test_previous_category(series, layout):
     assert by_entity(seen) == {"E": ["A", "A", "A", "B", "B"], "F": [None, "C"]}
 
 
+ACROSS = {
+    "nearest": {
+        "N1": [10, 10, 10, 20, 20, 20],
+        "N2": [5, 10, 10, 20, 20, 30],
+        "N3": [1, 1, 3, 3, 3, 7, 7],
+        "N4": GAPS["N4"],
+    },
+    "linear": {
+        "N1": [10, 10, 40 / 3, 50 / 3, 20, 20],
+        "N2": [5, 10, 40 / 3, 50 / 3, 20, 30],
+        "N3": [1, 2, 3, 4, 5, 6, 7],
+        "N4": GAPS["N4"],
+    },
+}
+
+
+@pytest.mark.parametrize("method", ACROSS)
+def test_gaps_filled_across_runs(series, layout, method):
+    panel = series({**GAPS, "N5": [None, None]}, {**SEG, "N5": "A"})
+    filled = by_entity(fill_across(panel, "entity", "period", "seg", ["v"], method, "row_id"))
+    expected = {**ACROSS[method], "N5": [20.5, 41]}
+    assert {e: pytest.approx(vs) for e, vs in expected.items()} == filled
+
+
+def test_rows_without_a_key_are_ordered_by_their_content(spark):
+    rows = [("E", "A", 1, None if i % 2 else float(i)) for i in range(40)]
+    panel = spark.createDataFrame(rows, "entity string, seg string, period int, v double")
+
+    def filled():
+        df = fill_neighbours(panel, "entity", "period", "seg", {"v": NeighbourRule()})
+        assert df.columns == panel.columns
+        return sorted(r.v for r in df.collect())
+
+    whole = filled()
+    spark.conf.set("spark.panelweave.rowsPerChunk", "9")
+    try:
+        assert filled() == whole
+    finally:
+        spark.conf.unset("spark.panelweave.rowsPerChunk")
+
+
 def test_mean_cascade(series, layout):
     panel = series({"E": [2.0, None, 4.0], "F": [None, None, None], "G": [8.0, 5.0, 1.0]})
     filled = by_entity(fill_mean_cascade(panel, "entity", "period", "seg", ["v"]))
     assert filled == {"E": [2, 3, 4], "F": [5, 5, 2.5], "G": [8, 5, 1]}
 
 
+def test_median_cascade(series, layout):
+    panel = series({"E": [2.0, None, 4.0, 9.0], "F": [None, None], "G": [8.0, 5.0, 1.0]})
+    filled = fill_mean_cascade(panel, "entity", "period", "seg", ["v"], stat="median")
+    assert by_entity(filled) == {"E": [2, 4, 4, 9], "F": [5, 5], "G": [8, 5, 1]}
+
+
 def test_rules_are_checked(series):
     with pytest.raises(ValueError):
         NeighbourRule("nearest")

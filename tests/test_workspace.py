@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from panelweave import pin, release
+from panelweave import pin, release, scope
 from panelweave.sources.workspace import shared_folder
 
 
@@ -35,3 +35,15 @@ def test_pinned_tables_are_read_back_and_released(spark):
     assert os.listdir(folder)
     release(spark)
     assert not os.path.exists(folder)
+
+
+def test_a_scope_deletes_only_its_own_tables(spark):
+    kept = pin(spark.range(5))
+    with scope(spark):
+        inner = pin(spark.range(7))
+        assert inner.count() == 7
+        path = inner.inputFiles()[0].removeprefix("file:").replace("//", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert kept.count() == 5
+    release(spark)
