@@ -166,7 +166,7 @@ WITH {CLEAN}, {_MEASLES} SELECT {_TIER_COLUMNS}, Measles_tier FROM measles""",
     "health_polio_tiers": f"""
 WITH {CLEAN}, {_POLIO} SELECT {_TIER_COLUMNS}, Polio_tier FROM polio""",
     "health_life_expectancy_summary": describe_sql(CLEAN, "Country", "Lifeexpectancy", ranked=True),
-    "health_life_expectancy_trend": slope_sql(CLEAN, "Country", "Year", "Lifeexpectancy", "Status"),
+    "health_life_expectancy_trend": slope_sql(CLEAN, "Country", "Year", "Lifeexpectancy", "Status") + " ORDER BY Country",
     "health_latest_status_comparison": latest_sql(CLEAN, "Status", "Year", "Lifeexpectancy"),
     "health_mortality_correlation": _corr("AdultMortality", "Lifeexpectancy"),
     "health_life_expectancy_by_gdp": f"""
@@ -182,7 +182,7 @@ GROUP BY Polio_tier, Measles_tier""",
 WITH {CLEAN}
 SELECT Country, Schooling, CAST(Lifeexpectancy AS DOUBLE) AS Lifeexpectancy FROM panel
 QUALIFY Schooling IN (MIN(Schooling) OVER (), MAX(Schooling) OVER ())""",
-    "health_bmi_trend": slope_sql(CLEAN, "Country", "Year", "BMI", None),
+    "health_bmi_trend": slope_sql(CLEAN, "Country", "Year", "BMI", None) + " ORDER BY Country",
     "health_child_deaths_at_extremes": extreme_sql(
         CLEAN,
         "Country",
