@@ -15,12 +15,14 @@ def drop_boilerplate_lines(
     text: str = "text",
     ratio: float = 0.1,
     min_pages: int = 5,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Every row with its boilerplate lines removed; the row itself is the struct column ``row``.
 
     Columns: row, text (without those lines), n_lines, n_dropped (long). A line is boilerplate if
     over ``ratio`` of its host's pages, and at least ``min_pages`` of them, contain its normal form
-    (lower case, single blanks); pages of a host with equal texts count as one page. Lines without
+    (lower case, single blanks); pages of a host with equal texts count as one page, and with
+    ``copies_once`` so does each class of near copies (:func:`shared.near_copies`). Lines without
     words always stay, so the rest of the layout does not change. A page of nothing but boilerplate
     becomes empty and stays.
 
@@ -28,7 +30,7 @@ def drop_boilerplate_lines(
     an empty table; extra columns stay inside ``row``. Texts are not shuffled unless the written
     table of boilerplate lines is too large to broadcast.
     """
-    often = shared.frequent_lines(docs, F.col(host), shared.text_of(text), ratio, min_pages)
+    often = shared.frequent_lines(docs, F.col(host), shared.text_of(text), ratio, min_pages, copies_once)
     rows = shared.with_row(
         docs, host=shared.null_safe_key(F.col(host)), text=shared.text_of(text)
     ).join(often.select("host", "lines"), "host", "left")

@@ -88,15 +88,15 @@ def quality_rules(
     base_failed, kept. Words are runs of anything but ASCII white space. ``base_failed``: fewer
     than ``min_words`` words, or over ``max_repeat_percent`` percent of them inside repeated windows
     of five words. Else a document is depleted, and not kept, if without the lines that are too
-    frequent at its host (:func:`shared.frequent_lines`) fewer than ``min_words`` words, or than
+    frequent at its host (:func:`shared.frequent_lines`, near copies counted once) fewer than ``min_words`` words, or than
     ``min_left`` of its words, are left.
 
     NULL text reads as empty and fails; NULL hosts form one host. Equal rows get equal verdicts.
     An empty table gives an empty table. Extra columns stay inside ``row`` and cannot clash.
-    The texts are read twice and never shuffled unless the table of frequent lines is too large to
-    broadcast: it is written first, and Spark decides by its size.
+    The texts are read four times and never shuffled unless the table of frequent lines, or of the ids of
+    likely copies, is too large to broadcast: these are written first, and Spark decides by their size.
     """
-    often = shared.frequent_lines(docs, F.col(host), shared.text_of(text), line_share, line_docs)
+    often = shared.frequent_lines(docs, F.col(host), shared.text_of(text), line_share, line_docs, copies_once=True)
     rows = shared.with_row(
         docs, host=shared.null_safe_key(F.col(host)), text=shared.text_of(text)
     ).join(often.select("host", "lines"), "host", "left")

@@ -116,6 +116,30 @@ def test_quality_rules_against_brute_force(spark):
     assert not rows[61].kept and not rows[61].base_failed and rows[62].kept and rows[62].n_frequent_words == 10
 
 
+def near_copy_host(rng, line_words=16):
+    """20 near copies of nine lines, one word edited in each, among 80 other texts, 12 with a common line."""
+    base = [some_words(rng, line_words) for _ in range(9)]
+    copies = []
+    for i in range(20):
+        lines = [x.split() for x in base]
+        lines[i % 9][rng.randrange(line_words)] = f"edit{i}"
+        copies.append("\n".join(" ".join(x) for x in lines))
+    stub = "This line is at every page of the host today"
+    return copies + [f"{stub}\n{some_words(rng, 30)}" for _ in range(12)] + [some_words(rng, 40) for _ in range(68)]
+
+
+def test_groups_of_near_copies_are_not_depleted_by_themselves(spark):
+    texts = near_copy_host(random.Random(15))
+    docs = documents(spark, texts)
+    rows = {r.row.doc_id: r for r in quality_rules(docs).collect()}
+    assert all(rows[i].kept and rows[i].n_frequent_words == 0 for i in range(20))
+    assert all(rows[i].n_frequent_words == 10 for i in range(20, 32))
+    import corpus_pipeline
+
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert all(left[i] == texts[i] for i in range(20)) and all("every page" not in left[i] for i in range(20, 32))
+
+
 def test_boilerplate_lines_go_and_exact_copies_do_not_count(spark):
     rng = random.Random(6)
     pages = [some_words(rng, 12) + "\nAll  rights RESERVED\n" + some_words(rng, 9) for _ in range(6)]
