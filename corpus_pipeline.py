@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate at their source."""
-    return without_boilerplate(docs, copies_once=True)
+    """All documents, without the lines that are boilerplate among those of their source and language."""
+    return without_boilerplate(docs, copies_once=True, within=["lang"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ def drop_boilerplate_lines(
     ratio: float = 0.1,
     min_pages: int = 5,
     copies_once: bool = False,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Every row with its boilerplate lines removed; the row itself is the struct column ``row``.
 
@@ -26,13 +29,19 @@ def drop_boilerplate_lines(
     words always stay, so the rest of the layout does not change. A page of nothing but boilerplate
     becomes empty and stays.
 
+    With columns in ``within``, such as the language, each of their values at a host is a host of its
+    own, so that a line of a small part of a host is measured against that part.
+
     NULL text reads as empty; NULL hosts form one host; equal rows stay equal; an empty table gives
     an empty table; extra columns stay inside ``row``. Texts are not shuffled unless the written
     table of boilerplate lines is too large to broadcast.
     """
-    often = shared.frequent_lines(docs, F.col(host), shared.text_of(text), ratio, min_pages, copies_once)
+    group = F.col(host)
+    if within:
+        group = F.to_json(F.array(*[shared.null_safe_key(F.col(c)) for c in (host, *within)]))
+    often = shared.frequent_lines(docs, group, shared.text_of(text), ratio, min_pages, copies_once)
     rows = shared.with_row(
-        docs, host=shared.null_safe_key(F.col(host)), text=shared.text_of(text)
+        docs, host=shared.null_safe_key(group), text=shared.text_of(text)
     ).join(often.select("host", "lines"), "host", "left")
 
     def cleaned(lines: Column) -> Column:

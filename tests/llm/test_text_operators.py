@@ -151,6 +151,18 @@ def test_boilerplate_lines_go_and_exact_copies_do_not_count(spark):
     assert rows[0].text == "\n".join(pages[0].split("\n")[::2])
 
 
+def test_pipeline_drops_lines_of_a_small_language_at_a_mixed_host(spark):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    line = "Tous droits réservés sur cette page"
+    texts = [f"{line}\n{some_words(rng, 30)}" for _ in range(6)] + [some_words(rng, 30) for _ in range(94)]
+    rows = [(i, t, "fr" if i < 30 else None if i < 60 else "en", "s", len(t)) for i, t in enumerate(texts)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert [left[i] for i in range(6)] == [t.split("\n")[1] for t in texts[:6]]
+    assert [left[i] for i in range(6, 100)] == texts[6:]
+
+
 def bag(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     if 0 < len(words) < 5:
