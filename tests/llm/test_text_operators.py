@@ -388,3 +388,97 @@ def test_pipeline_stages_against_brute_force(spark, tokenizer):
                 ids = tokenizer.encode_ordinary(before[r.doc_id].text)
                 assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
                 assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest()
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def frequent_by_hand(rows, key, share, at_least):
+    """Lines by group that too many classes of near copies contain; all in plain Python."""
+    groups, often = collections.defaultdict(set), {}
+    for r in rows:
+        groups[key(r)].add(r.text or "")
+    for group, texts in groups.items():
+        texts = sorted(texts)
+        sets = [set(bag(t)) for t in texts]
+        root = list(range(len(texts)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    root = [root[j] if x == root[i] else x for x in root]
+        holders = collections.defaultdict(set)
+        for i, text in enumerate(texts):
+            for line in text.split("\n"):
+                holders[" ".join(plain_words(line)).lower()].add(root[i])
+        often[group] = {x for x, who in holders.items() if x and len(who) >= at_least and len(who) > share * len(set(root))}
+    return often
+
+
+def mixture_by_hand(rows):
+    """(id, epoch) of the production mixture."""
+    from panelweave.llm.queries import MIX, MIX_WEIGHTS
+
+    leaf_of, supply = {}, collections.Counter()
+    for r in rows:
+        first = hashlib.md5((r.source or "").encode()).hexdigest()[0]
+        leaf_of[r.doc_id] = ("web" if first < "8" else "books", r.lang, r.source)
+        supply[leaf_of[r.doc_id]] += len(plain_words(r.text))
+    budgets = {(): int(sum(supply.values()) * MIX["budget_share"])}
+    for depth in (1, 2, 3):
+        capacity = collections.Counter()
+        for leaf, n in supply.items():
+            capacity[leaf[:depth]] += n * MIX["max_epochs"]
+        for parent in [p for p in budgets if len(p) == depth - 1]:
+            left, todo = budgets[parent], {c for c in capacity if c[:-1] == parent}
+            while todo:
+                rate = left / sum(MIX_WEIGHTS.get(c, 1) for c in todo)
+                full = {c for c in todo if capacity[c] <= MIX_WEIGHTS.get(c, 1) * rate}
+                for c in full or todo:
+                    budgets[c] = capacity[c] if full else int(MIX_WEIGHTS.get(c, 1) * rate)
+                    left -= capacity[c] if full else 0
+                todo = todo - full if full else set()
+    chosen = []
+    for leaf, n in supply.items():
+        whole, rest = divmod(budgets[leaf], n) if n else (0, -1)
+        mine = [r for r in rows if leaf_of[r.doc_id] == leaf]
+        chosen += [(r.doc_id, e) for r in mine for e in range(whole)]
+        for r in sorted(mine, key=lambda r: hashlib.md5(f"{MIX['seed']}:{whole}:{r.doc_id}".encode()).hexdigest()):
+            rest -= len(plain_words(r.text))
+            if rest < 0:
+                break
+            chosen.append((r.doc_id, whole))
+    return chosen
+
+
+def test_what_the_pipeline_stages_drop_against_plain_python(spark):
+    import corpus_pipeline
+    from panelweave.llm.queries import MIX, mix_levels
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+
+    often, good = frequent_by_hand(rows, lambda r: r.source, 0.1, 10), set()
+    for r in rows:
+        words = plain_words(r.text)
+        windows = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        inside = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        gone = [x for x in (r.text or "").split("\n") if " ".join(plain_words(x)).lower() in often[r.source]]
+        left = len(words) - sum(len(plain_words(x)) for x in gone)
+        if len(words) >= 10 and 100 * len(inside) <= 20 * len(words) and left >= 10 and left >= 0.2 * len(words):
+            good.add(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()} == good and len(good) < len(rows)
+
+    often = frequent_by_hand(rows, lambda r: (r.source, r.lang), 0.1, 5)
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    for r in rows:
+        lines = (r.text or "").split("\n")
+        kept = [x for x in lines if " ".join(plain_words(x)).lower() not in often[r.source, r.lang]]
+        assert left[r.doc_id] == "\n".join(kept)
+    assert any(often.values()) and len(left) == len(rows)
+
+    mixed = mixing.mix_to_weights(docs, mix_levels(), **MIX).select("row.doc_id", "epoch").collect()
+    by_hand = mixture_by_hand(rows)
+    assert sorted((r.doc_id, r.epoch) for r in mixed) == sorted(by_hand)
+    given = collections.Counter(r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").collect())
+    assert given == collections.Counter(i for i, _ in by_hand)
