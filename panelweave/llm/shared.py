@@ -112,7 +112,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     their sets of five-word windows have a Jaccard similarity of 0.8 or more; classes are what links
     reach. Neighbours among the 17 smallest window hashes are 16 keys; every text is compared, by whole sets,
     with the smallest of each of its keys at its host, so work grows with texts and not with pairs. Two texts of
-    similarity 0.8 have no key in common with a probability of about 3e-4; those with a key in common are only
+    similarity 0.8 have no key in common with a probability of about 2e-5 (by arithmetic); those with a key in common are only
     missed where a smaller text that is like neither comes first in all of them.
     """
 
