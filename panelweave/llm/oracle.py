@@ -1,12 +1,13 @@
 """DuckDB SQL for the queries that SQL can express, from their definitions over the same tables.
 
 Not here: novelty by compression, URL templates (a tree of unknown depth), the boosted model, byte-level BPE,
-packed sequences and the pipeline that ends in BPE. Tests compare these with brute-force versions.
+packed sequences, periodic runs (chosen by CRC-32) and the pipeline that ends in BPE.
 """
 
 from __future__ import annotations
 
-from panelweave.llm.queries import MIX, MIX_WEIGHTS
+from panelweave.llm.license_scan import CONTAINED_PERCENT, PHRASES, TEMPLATES
+from panelweave.llm.queries import CLUSTERS, MIX, MIX_WEIGHTS
 
 SPACE = r"'[\x20\x09-\x0D]+'"
 
@@ -138,10 +139,97 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
 SELECT a AS doc_id, min(b) AS class_id, min(b) = a AS kept FROM reach GROUP BY a
 """
 
+
+
+def squared(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def assignment(number: int) -> str:
+    """Every vector with its nearest centroid of one round."""
+    return f"""
+near{number} AS MATERIALIZED (SELECT r, vec_id, v, min((d, c)) AS best FROM (
+  SELECT r, vec_id, k.v AS v, c, {squared("k.v", "m.v")} AS d FROM kept k, means{number} m) GROUP BY ALL)"""
+
+
+def means(number: int) -> str:
+    """Centroids after a round: means rounded down, old ones where a centroid has no vector."""
+    return f"""
+sums{number} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+  SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{number - 1}) GROUP BY ALL),
+moved{number} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{number} GROUP BY c),
+means{number} AS MATERIALIZED (SELECT m.c, coalesce(x.v, m.v) AS v FROM means{number - 1} m LEFT JOIN moved{number} x ON m.c = x.c)"""
+
+
+CLUSTERED = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+means0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{CLUSTERS["seed"]}:' || vec_id), v) - 1 AS c, v
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {CLUSTERS["k"]}),
+{",".join(assignment(n) + "," + means(n + 1) for n in range(CLUSTERS["rounds"]))},
+{assignment(CLUSTERS["rounds"])}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance,
+  (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near{CLUSTERS["rounds"]} n JOIN means{CLUSTERS["rounds"]} m ON n.best[2] = m.c
+"""
+
+ASCII_BETWEEN = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def licence_words(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, {ASCII_BETWEEN}), lambda w: w <> '')"
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+LICENCE_ROWS = ", ".join(f"({i}, '{t.label}', {len(t.within) > 1}, {quoted([t.text])})" for i, t in enumerate(TEMPLATES))
+PHRASE_ROWS = ", ".join(f"({quoted([phrase, label])})" for phrase, label in PHRASES.items())
+
+LICENCES = rf"""
+WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+texts AS (SELECT doc_id, text, {licence_words("text")} AS w FROM docs),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+phrases(phrase, label) AS (VALUES {PHRASE_ROWS}),
+followed AS (SELECT doc_id, i, word, lead(word) OVER d AS second, lead(word, 2) OVER d AS third
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+places AS (SELECT doc_id, i, label FROM followed JOIN phrases
+  ON phrase = CASE WHEN phrase LIKE '% % %' THEN word || ' ' || second || ' ' || third ELSE word || ' ' || second END),
+templates(t, label, paragraph, text) AS (VALUES {LICENCE_ROWS}),
+template_words AS (SELECT DISTINCT t, label, paragraph, unnest({licence_words("lower(text)")}) AS word FROM templates),
+sizes AS (SELECT t, count(*) AS size FROM template_words GROUP BY t),
+blocks AS (SELECT doc_id, FALSE AS paragraph, unnest(s) AS block, generate_subscripts(s, 1) AS b
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs)
+  UNION ALL SELECT doc_id, TRUE, unnest(s), generate_subscripts(s, 1)
+  FROM (SELECT doc_id, string_split_regex(text, '
+[ 	-]*
+') AS s FROM docs)),
+block_words AS (SELECT DISTINCT doc_id, paragraph, b, unnest({licence_words("block")}) AS word FROM blocks),
+contained AS (SELECT doc_id, label, count(*) / any_value(size) AS part
+  FROM block_words x JOIN template_words y ON x.word = y.word AND x.paragraph = y.paragraph JOIN sizes s ON s.t = y.t
+  GROUP BY doc_id, x.paragraph, b, y.t, label HAVING 100 * count(*) >= {CONTAINED_PERCENT} * any_value(size)),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS low, max(i) AS high,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+  SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM contained) GROUP BY doc_id),
+best AS (SELECT doc_id, max(part) AS part FROM contained GROUP BY doc_id)
+SELECT x.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low AS first_word, high AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1::DOUBLE ELSE coalesce(part, 0)::DOUBLE END AS score
+FROM texts x LEFT JOIN base ON x.doc_id = base.doc_id LEFT JOIN every ON x.doc_id = every.doc_id
+LEFT JOIN best ON x.doc_id = best.doc_id
+"""
+
 ORACLE = {
     "op2_line_dedup": LINE_DEDUP,
     "op7_mixing_weights": MIXING,
     "op8_quality_rules": QUALITY_RULES,
     "op9_embedding_tiles": EMBEDDINGS,
     "op10_bag_minhash": MINHASH,
+    "op11_centroid_search": CLUSTERED,
+    "op12_license_scan": LICENCES,
 }
