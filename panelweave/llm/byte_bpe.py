@@ -17,7 +17,7 @@ from panelweave.llm import shared
 
 # Pieces of up to so many bytes are remembered, so many of them, in each Python worker.
 PIECE_BYTES = 48
-PIECES = 200_000
+PIECES = 100_000
 PAIRS = 1 << 17
 BATCH_CHARS = 4_000_000
 BASE = -1  # when a single byte came to be
@@ -188,14 +188,14 @@ def python_pattern(pattern: str) -> re.Pattern:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str) -> tuple[ByteBPE, re.Pattern, Callable[[str], bytes]]:
+def _encoder(path: str, pattern: str) -> tuple[ByteBPE, re.Pattern, Remembered]:
     """Encoder, pattern, and ids of a piece as four bytes each; built once in each Python worker."""
     bpe = ByteBPE(read_ranks(path))
 
     def packed(piece: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in bpe.encode_piece(piece.encode()))
 
-    return bpe, python_pattern(pattern), Remembered(packed).__getitem__
+    return bpe, python_pattern(pattern), Remembered(packed)
 
 
 @lru_cache(2)
@@ -235,18 +235,24 @@ def encode(
     the column decoded has the bytes that the ids stand for, as from :func:`decode` but in the same
     Python worker. NULL and empty texts have no ids. Repeated rows come out as often as they came; an
     empty table gives an empty table; other columns are not read. One pass, no shuffle; a batch is cut into parts of a few
-    million characters, and what a worker remembers of earlier pieces is bounded.
+    million characters, and what a worker remembers of earlier pieces is bounded and forgotten after each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cut, packed = _encoder(path, pattern)
-        for batch in batches:
-            for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
-                ids = [b"".join(map(packed, cut.findall(t.as_py()))) for t in part.column(1)]
-                columns = [part.column(0), _lists(ids, pa.int32())]
-                if decoded:
-                    columns.append(_decoded(columns[1], bpe.bytes_of))
-                yield pa.RecordBatch.from_arrays(columns, names)
+        bpe, cut, remembered = _encoder(path, pattern)
+        packed = remembered.__getitem__
+        try:
+            for batch in batches:
+                for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
+                    ids = [b"".join(map(packed, cut.findall(t.as_py()))) for t in part.column(1)]
+                    columns = [part.column(0), _lists(ids, pa.int32())]
+                    if decoded:
+                        columns.append(_decoded(columns[1], bpe.bytes_of))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            # The worker lives on, in later stages too; what was remembered is of no use there.
+            remembered.clear()
+            bpe.fits.cache_clear()
 
     content = shared.text_of(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.length(content).alias("n"))
