@@ -1,13 +1,15 @@
 """SQL for the health panel: raw table, cleaning and questions."""
 
 from oracle.panel import (
-    below,
+    below_third,
     centred,
     corr_sql,
     describe_sql,
     extreme_sql,
     half_up,
+    half_up_mean,
     latest_sql,
+    mean,
     neighbour_case,
     neighbour_columns,
     rolling_sql,
@@ -74,8 +76,8 @@ def _around(m: str) -> str:
 
 
 def _mean_fill(m: str) -> str:
-    return f"""COALESCE({m}, AVG({m}) OVER (PARTITION BY Country),
-        AVG({m}) OVER (PARTITION BY Status, Year)) AS {m}"""
+    return f"""COALESCE({m}, {mean(m, 'OVER (PARTITION BY Country)')},
+        {mean(m, 'OVER (PARTITION BY Status, Year)')}) AS {m}"""
 
 
 _MEAN_FILLED = (
@@ -94,8 +96,8 @@ _LOW = {
 
 
 def _low(m: str, digits: int) -> str:
-    mean = f"AVG({m}) OVER (PARTITION BY Country)"
-    return f"CASE WHEN {below(m, f'{mean} / 3')} THEN {half_up(mean, digits)} ELSE {m} END AS {m}"
+    over = "OVER (PARTITION BY Country)"
+    return f"CASE WHEN {below_third(m, over)} THEN {half_up_mean(m, digits, over)} ELSE {m} END AS {m}"
 
 
 CLEAN = f"""{RAW},
@@ -118,7 +120,7 @@ single AS (
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY Country, Year ORDER BY Row_ID) AS r FROM filled)
   WHERE r = 1),
 lifted AS (SELECT * REPLACE ({', '.join(_low(m, d) for m, d in _LOW.items())}) FROM single),
-normal AS (SELECT Country, AVG(BMI) AS mean FROM lifted WHERE BMI BETWEEN 15 AND 40 GROUP BY Country),
+normal AS (SELECT Country, {mean('BMI')} AS mean FROM lifted WHERE BMI BETWEEN 15 AND 40 GROUP BY Country),
 ranged AS (
   SELECT l.* REPLACE (CASE WHEN BMI NOT BETWEEN 15 AND 40 AND mean IS NOT NULL THEN mean ELSE BMI END AS BMI)
   FROM lifted l LEFT JOIN normal n ON l.Country = n.Country),
@@ -131,7 +133,7 @@ _MEASLES = tiers_ctes("panel", "Country", "Measles", (81,), "mean", None, "measl
 _POLIO = tiers_ctes("panel", "Country", "Polio", (61,), "mean", None, "polio", "Polio_tier")
 _TIER_COLUMNS = """Country, CAST(percent_in_total AS DOUBLE) AS percent_in_total,
        CAST(rolling_percent AS DOUBLE) AS rolling_percent, counting"""
-_LIFE_MEAN = f"{half_up('AVG(CAST(Lifeexpectancy AS DOUBLE))', 6)} AS avg_Lifeexpectancy"
+_LIFE_MEAN = f"ROUND({mean('Lifeexpectancy')}, 6) AS avg_Lifeexpectancy"
 
 
 def _corr(x: str, *others: str) -> str:
@@ -186,7 +188,7 @@ QUALIFY Schooling IN (MIN(Schooling) OVER (), MAX(Schooling) OVER ())""",
     "health_child_deaths_at_extremes": extreme_sql(
         CLEAN,
         "Country",
-        "CAST(AVG(Lifeexpectancy) AS DECIMAL(12,6))",
+        half_up_mean("Lifeexpectancy", 6),
         {"infantdeaths": "avg_infantdeaths", "under_fivedeaths": "avg_under_fivedeaths"},
     ),
     "health_mortality_moving_average": f"""

@@ -34,24 +34,9 @@ def missing_count(name: str, dtype: T.DataType, zero_is_missing: bool = False) -
     return F.count(F.lit(1)) - F.count(value)
 
 
-# Means of doubles differ in their last digits with the order of the sum, which Spark does not fix.
-# Two numbers this close, relative to their size, are one number in exact arithmetic.
-MARGIN = 1e-13
-
-
-def round_half_up(value: Column, digits: int, dtype: T.DataType | None = None) -> Column:
-    """Round once, half away from zero.
-
-    A computed mean such as 1.0149999999999999 rounds like the 1.015 it stands for; what is further
-    from a tie than the noise of a sum of doubles, such as 1.004999996, is not drawn to it. A ``value``
-    computed from decimals, as ``dtype`` says, is rounded as it is.
-    """
-    if isinstance(dtype, T.DecimalType):
-        return F.round(value, digits)
-    value = value.cast("double")
-    # Never more than a millionth of the last place, also where the value is large.
-    noise = F.least(F.abs(value) * MARGIN, F.lit(10.0 ** -(digits + 6)))
-    return F.round(value + F.signum(value) * noise, digits)
+def round_half_up(value: Column, digits: int) -> Column:
+    """The double ``value`` rounded once, half away from zero, as the decimal it prints as."""
+    return F.round(value.cast("double"), digits)
 
 
 def store_as(value: Column, dtype: T.DataType) -> Column:
@@ -64,18 +49,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def below(value: Column, bound: Column) -> Column:
-    """``value`` < ``bound``, where the bound comes from a mean: by more than the noise of its sum."""
-    value, bound = value.cast("double"), bound.cast("double")
-    return value < bound - F.abs(bound) * MARGIN
-
-
-def same(value: Column, other: Column) -> Column:
-    """``value`` = ``other``, within the margin."""
-    value, other = value.cast("double"), other.cast("double")
-    return F.abs(value - other) <= F.abs(other) * MARGIN
-
-
 def in_range(value: Column, lo: float, hi: float) -> Column:
     """``value`` in [lo, hi], exactly: the bounds are given, not computed."""
     return value.cast("double").between(float(lo), float(hi))

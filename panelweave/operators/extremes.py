@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalars import same
+from panelweave.functions.exact import exact_mean, exact_totals
 from panelweave.sources.workspace import pin
 
 # Result labels.
@@ -31,17 +31,20 @@ def extreme_group_profile(
 ) -> DataFrame:
     """Means of ``measures`` for the entities with the lowest and the highest mean of ``rank_by``.
 
-    Ties are kept; an entity that is both counts as lowest. The means are written once, as they are
-    read both for the extremes and for the result.
+    Ties are kept, as the means are exact; an entity that is both counts as lowest. The means are written
+    once, as they are read both for the extremes and for the result.
     """
-    means = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(
-        F.avg(rank_by).alias("_rank"), *[F.avg(m).alias(f"avg_{m}") for m in measures]
+    totals = {"_rank": rank_by, **{f"avg_{m}": m for m in measures}}
+    known = df.filter(F.col(entity).isNotNull())
+    means = exact_totals(known, [entity], totals)
+    means = means.withColumns(
+        {out: exact_mean(out, df.schema[m].dataType) for out, m in totals.items()}
     )
     means = pin(means, "entity-means")
     lowest = means.agg(F.min("_rank")).scalar()
     highest = means.agg(F.max("_rank")).scalar()
     ranked = means.withColumn("_low", lowest).withColumn("_high", highest)
-    low, high = same(F.col("_rank"), F.col("_low")), same(F.col("_rank"), F.col("_high"))
+    low, high = F.col("_rank") == F.col("_low"), F.col("_rank") == F.col("_high")
     ranking = F.when(low, labels[0]).otherwise(labels[1])
     return ranked.filter(low | high).select(
         entity, ranking.alias("ranking"), *[f"avg_{m}" for m in measures]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.functions.scalars import round_half_up, store_as
+from panelweave.functions.exact import exact_mean, exact_midpoint, exact_totals, rounded_mean
+from panelweave.functions.scalars import store_as
 from panelweave.operators.spread import (
     TIE,
     group_window,
@@ -17,6 +18,7 @@ from panelweave.operators.spread import (
     null_safe_join,
     ordering,
     total_order,
+    with_group_totals,
     with_group_values,
     with_halo,
     with_last_known,
@@ -79,13 +81,13 @@ def fill_previous_category(
 
 
 def group_means(df: DataFrame, group: str, period: str, measures: Sequence[str]) -> DataFrame:
-    """Written table of the mean of each measure per group and period, as ``_mean_<measure>``.
+    """Written table of the total of each measure per group and period, as ``_mean_<measure>``.
 
+    The totals are exact (:func:`exact_totals`), so the means taken from them are the same in every run.
     A window over these few large groups would put each in one task; this combines map-side. Being
     written, the table has a known size, and the planner broadcasts it only if it is small.
     """
-    means = df.groupBy(group, period).agg(*[F.avg(m).alias(f"_mean_{m}") for m in measures])
-    return pin(means, "means")
+    return pin(exact_totals(df, [group, period], {f"_mean_{m}": m for m in measures}), "means")
 
 
 def fill_neighbours(
@@ -133,11 +135,12 @@ def fill_neighbours(
 
 
 def _filled(m: str, rule: NeighbourRule, dtype: T.DataType) -> Column:
-    lag, lead, mean = F.col(f"_lag_{m}"), F.col(f"_lead_{m}"), F.col(f"_mean_{m}")
-    middle = (lag + lead) / 2
-    if rule.digits is not None:
-        middle = round_half_up(middle, rule.digits, dtype)
-        mean = round_half_up(mean, rule.digits, dtype)
+    lag, lead, total = F.col(f"_lag_{m}"), F.col(f"_lead_{m}"), f"_mean_{m}"
+    if rule.digits is None:
+        middle, mean = (lag + lead) / 2, exact_mean(total, dtype)
+    else:
+        middle = exact_midpoint(lag, lead, dtype, rule.digits)
+        mean = rounded_mean(total, rule.digits)
     after_gap = F.col(f"_first_{m}") if rule.edge == "first_value" else lead
     before_gap = lag if rule.edge == "adjacent" else F.col(f"_last_{m}")
     one_sided = F.when(lag.isNull(), after_gap).otherwise(before_gap)
@@ -202,7 +205,7 @@ def _across(m: str, place: Column, method: str, dtype: T.DataType) -> Column:
         low, high = before["value"].cast("double"), after["value"].cast("double")
         between = low + (high - low) * part
     between = F.when(before.isNotNull() & after.isNotNull(), between)
-    one_sided = F.coalesce(before["value"], after["value"], F.col(f"_mean_{m}"))
+    one_sided = F.coalesce(before["value"], after["value"], exact_mean(f"_mean_{m}", dtype))
     return F.coalesce(F.col(m), store_as(F.coalesce(between, one_sided), dtype))
 
 
@@ -228,15 +231,14 @@ def fill_mean_cascade(
     else:
         if means is None:
             means = group_means(df, group, period, measures)
-        out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in measures}, split)
+        out = with_group_totals(df, [entity], {f"_own_{m}": m for m in measures}, split)
     out = _with_means(out, means, group, period, measures)
-    filled = {
-        m: F.coalesce(
-            F.col(m),
-            store_as(F.coalesce(f"_own_{m}", f"_mean_{m}"), df.schema[m].dataType),
-        )
-        for m in measures
-    }
+    filled = {}
+    for m in measures:
+        own, mean, dtype = f"_own_{m}", f"_mean_{m}", df.schema[m].dataType
+        if stat == "mean":
+            own, mean = exact_mean(own, dtype), exact_mean(mean, dtype)
+        filled[m] = F.coalesce(F.col(m), store_as(F.coalesce(own, mean), dtype))
     out = out.withColumns(filled)
     return out.drop(*[f"_own_{m}" for m in measures], *[f"_mean_{m}" for m in measures])
 

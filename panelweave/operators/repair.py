@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalars import below, in_range, round_half_up, store_as
-from panelweave.operators.spread import with_group_values
+from panelweave.functions.exact import below_mean_part, exact_mean, rounded_mean
+from panelweave.functions.scalars import in_range, store_as
+from panelweave.operators.spread import with_group_totals
 
 
 def dedupe_keyed(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -30,15 +31,16 @@ def replace_low_outliers(
 ) -> DataFrame:
     """Replace values below the entity's mean / ``divisor`` by that mean, rounded per measure.
 
-    The mean includes the outliers. All measures are judged on the values before any replacement.
+    The mean includes the outliers. All measures are judged on the values before any replacement, strictly
+    and against the exact mean: a value that is a third of it stays.
     """
-    out = with_group_values(df, [entity], {f"_own_{m}": F.avg(m) for m in digits}, split)
+    out = with_group_totals(df, [entity], {f"_own_{m}": m for m in digits}, split)
     repaired = {}
     for m, places in digits.items():
-        mean = F.col(f"_own_{m}")
-        dtype = df.schema[m].dataType
-        replacement = store_as(round_half_up(mean, places, dtype), dtype)
-        repaired[m] = F.when(below(F.col(m), mean / divisor), replacement).otherwise(F.col(m))
+        total = f"_own_{m}"
+        replacement = store_as(rounded_mean(total, places), df.schema[m].dataType)
+        low = below_mean_part(F.col(m), total, divisor)
+        repaired[m] = F.when(low, replacement).otherwise(F.col(m))
     return out.withColumns(repaired).drop(*[f"_own_{m}" for m in digits])
 
 
@@ -53,13 +55,14 @@ def replace_out_of_range(
     An entity without a value inside the range keeps its values; NULL stays NULL.
     """
     inside = {
-        f"_in_{m}": F.avg(F.when(in_range(F.col(m), lo, hi), F.col(m)))
-        for m, (lo, hi) in ranges.items()
+        f"_in_{m}": F.when(in_range(F.col(m), lo, hi), F.col(m)) for m, (lo, hi) in ranges.items()
     }
-    out = with_group_values(df, [entity], inside, split)
+    totals = {f"_mean{name}": name for name in inside}
+    out = with_group_totals(df.withColumns(inside), [entity], totals, split)
     repaired = {}
     for m, (lo, hi) in ranges.items():
-        mean = store_as(F.col(f"_in_{m}"), df.schema[m].dataType)
+        dtype = df.schema[m].dataType
+        mean = store_as(exact_mean(f"_mean_in_{m}", dtype), dtype)
         outside = ~in_range(F.col(m), lo, hi) & mean.isNotNull()
         repaired[m] = F.when(outside, mean).otherwise(F.col(m))
-    return out.withColumns(repaired).drop(*inside)
+    return out.withColumns(repaired).drop(*inside, *totals)

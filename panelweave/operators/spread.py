@@ -9,12 +9,19 @@ across the cuts. Without a heavy entity they are plain windows and ``CHUNK`` doe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.functions.exact import (
+    exact_totals,
+    summed_pieces,
+    with_pieces,
+    with_totals,
+    without_pieces,
+)
 from panelweave.sources.workspace import pin
 
 CHUNK = "_chunk"
@@ -214,7 +221,10 @@ def without_halo(df: DataFrame) -> DataFrame:
 
 
 def with_group_values(
-    df: DataFrame, by: Sequence[str], values: dict[str, Column], split: bool = False
+    df: DataFrame,
+    by: Sequence[str],
+    values: Mapping[str, Column],
+    split: bool = False,
 ) -> DataFrame:
     """Attach plain aggregates over the whole group to each of its rows.
 
@@ -235,6 +245,20 @@ def with_group_values(
     return df.withColumns({name: agg.over(window) for name, agg in values.items()})
 
 
+def with_group_totals(
+    df: DataFrame, by: Sequence[str], values: Mapping[str, str], split: bool = False
+) -> DataFrame:
+    """Attach the exact totals of columns over the whole group to each of its rows; see :mod:`functions.exact`."""
+    if is_split(df) or split:
+        totals = exact_totals(without_halo(df), by, values)
+        return null_safe_join(df, pin(totals, "totals") if split else totals, by)
+    sums = {}
+    for name, column in values.items():
+        sums |= summed_pieces(name, column)
+    out = with_group_values(with_pieces(df, values), by, sums)
+    return with_totals(without_pieces(out, values), list(values))
+
+
 def with_last_known(
     df: DataFrame,
     by: Sequence[str],
@@ -278,6 +302,18 @@ def running_totals(
     return in_parts(df, by, order, lambda rows: _running_totals(rows, by, order, totals), split)
 
 
+def ranged_totals(
+    df: DataFrame, order: Sequence[str], totals: dict[str, Column], label: str = "ranges"
+) -> DataFrame:
+    """Running sums over all rows in one order, in two levels whatever their number.
+
+    The rows are cut into ranges of ``order``, written with the number of their range, and summed within each; what
+    precedes a range comes from one row per range. Rows must be unique on ``order``.
+    """
+    ranges = df.repartitionByRange(*ordering(order)).withColumn(CHUNK, F.spark_partition_id() + 1)
+    return unsplit(_running_totals(pin(ranges, label), [], order, totals))
+
+
 def _running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[str], totals: dict[str, Column]
 ) -> DataFrame:

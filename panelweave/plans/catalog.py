@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave import operators as ops
-from panelweave.functions import round_half_up
+from panelweave.functions import exact_mean, exact_totals, round_half_up, rounded_mean
 from panelweave.operators import NeighbourRule
 from panelweave.plans import health
 from panelweave.plans.clean import CleaningSpec, Ratio, clean_panel
@@ -121,9 +121,10 @@ def distinct_categories(spark, folder):
 def apply_corrections(spark, folder):
     """Cells below a third of the customer's mean take the mean, by a join on the row key."""
     panel = stored_customers(spark, folder)
-    means = panel.groupBy(ENTITY).agg(F.avg("m1").alias("mean"))
-    fixes = panel.join(means, ENTITY).select(ID, "m1", "mean")
-    updates = {"m1": round_half_up(F.col("fix_mean"), 2)}
+    totals = exact_totals(panel, [ENTITY], {"total": "m1"})
+    means = totals.select(ENTITY, exact_mean("total").alias("mean"), rounded_mean("total", 2).alias("rounded"))
+    fixes = panel.join(means, ENTITY).select(ID, "m1", "mean", "rounded")
+    updates = {"m1": "fix_rounded"}
     return rounded(ops.apply_corrections(panel, fixes, ID, updates, when="fix_m1 < fix_mean / 3"))
 
 
@@ -302,7 +303,7 @@ def pearson_pairwise(spark, folder):
 
 
 def customer_tiers(panel: DataFrame) -> DataFrame:
-    return ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD)
+    return ops.pareto_tiers(panel, ENTITY, "m1", (71, 90), "latest", PERIOD, digits=4)
 
 
 def pearson_by_tier(spark, folder):
@@ -318,7 +319,7 @@ def pareto_tiers_latest(spark, folder):
 
 def pareto_tiers_mean(spark, folder):
     panel = user_day(spark, folder)
-    return rounded(ops.pareto_tiers(panel, ENTITY, "m2", (81,), "mean"))
+    return rounded(ops.pareto_tiers(panel, ENTITY, "m2", (81,), "mean", digits=4))
 
 
 def mean_by_tier(spark, folder):
@@ -328,8 +329,8 @@ def mean_by_tier(spark, folder):
 
 def mean_by_two_tiers(spark, folder):
     panel = stored_customers(spark, folder)
-    first = ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier")
-    second = ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier")
+    first = ops.pareto_tiers(panel, ENTITY, "m1", (81,), "mean", out="m1_tier", digits=4)
+    second = ops.pareto_tiers(panel, ENTITY, "m2", (61,), "mean", out="m2_tier", digits=4)
     means = ops.mean_by_two_tiers(panel, first, second, ENTITY, "m1", "m1_tier", "m2_tier")
     return rounded(means)
 
@@ -429,12 +430,21 @@ def pearson_lines_by_flag(spark, folder):
 
 
 def pareto_tiers_parts(spark, folder):
-    return rounded(ops.pareto_tiers(lines_by_part(spark, folder), ENTITY, "m2", (71, 90), "mean"))
+    lines = lines_by_part(spark, folder)
+    return rounded(ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", digits=4))
+
+
+def pareto_tiers_orders(spark, folder):
+    """Every order an entity, so that most rounded shares would be 0; running shares of the amounts themselves."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(ENTITY), F.year("o_orderdate").alias(PERIOD), F.col("o_totalprice").alias("m1")
+    )
+    return rounded(ops.pareto_tiers(orders, ENTITY, "m1", (71, 90), "latest", PERIOD), 9)
 
 
 def mean_by_tier_parts(spark, folder):
     lines = lines_by_part(spark, folder)
-    tiers = ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", position=False)
+    tiers = ops.pareto_tiers(lines, ENTITY, "m2", (71, 90), "mean", position=False, digits=4)
     return rounded(ops.mean_by_tier(lines, tiers, ENTITY, "m1"))
 
 
@@ -490,10 +500,7 @@ def _question(ask: Callable[[DataFrame], DataFrame]) -> Query:
 def health_life_expectancy_by_region(spark, folder):
     places = regions(spark, folder, "country")
     places = places.select(F.col("country").cast("string").alias("Country"), "region")
-    means = health.life_expectancy_by_region(clean_snapshot(spark, folder), places)
-    # Means of two-digit numbers over round counts end in a 5 often.
-    mean = "avg_Lifeexpectancy"
-    return means.withColumn(mean, round_half_up(F.col(mean), 6))
+    return rounded(health.life_expectancy_by_region(clean_snapshot(spark, folder), places))
 
 
 QUERIES: dict[str, Query] = {
@@ -553,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "pearson_lines": pearson_lines,
     "pearson_lines_by_flag": pearson_lines_by_flag,
     "pareto_tiers_parts": pareto_tiers_parts,
+    "pareto_tiers_orders": pareto_tiers_orders,
     "mean_by_tier_parts": mean_by_tier_parts,
     "extreme_profile_parts": extreme_profile_parts,
     "rows_at_extremes_lines": rows_at_extremes_lines,

@@ -120,8 +120,9 @@ HEALTH_SPEC = CleaningSpec(
     ratio=Ratio("health_expenditure", "GDP", "percentageexpenditure"),
 )
 
-# Running shares in percent at which a tier ends.
+# Running shares in percent at which a tier ends, and the places shares are rounded to.
 GDP_CUTS, MEASLES_CUTS, POLIO_CUTS = (71, 90), (81,), (61,)
+SHARE_DIGITS = 4
 
 
 def audit_health_panel(raw: DataFrame) -> DataFrame:
@@ -159,7 +160,14 @@ def mortality_correlation(panel: DataFrame) -> DataFrame:
 
 def gdp_tiers(panel: DataFrame) -> DataFrame:
     tiers = pareto_tiers(
-        panel, ENTITY, "GDP", GDP_CUTS, period=PERIOD, out="GDP_tier", position=False
+        panel,
+        ENTITY,
+        "GDP",
+        GDP_CUTS,
+        period=PERIOD,
+        out="GDP_tier",
+        position=False,
+        digits=SHARE_DIGITS,
     )
     return tiers.select(ENTITY, "GDP_tier")
 
@@ -169,11 +177,15 @@ def life_expectancy_by_gdp(panel: DataFrame) -> DataFrame:
 
 
 def measles_tiers(panel: DataFrame) -> DataFrame:
-    return pareto_tiers(panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier")
+    return pareto_tiers(
+        panel, ENTITY, "Measles", MEASLES_CUTS, stat="mean", out="Measles_tier", digits=SHARE_DIGITS
+    )
 
 
 def polio_tiers(panel: DataFrame) -> DataFrame:
-    return pareto_tiers(panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier")
+    return pareto_tiers(
+        panel, ENTITY, "Polio", POLIO_CUTS, stat="mean", out="Polio_tier", digits=SHARE_DIGITS
+    )
 
 
 def life_expectancy_by_disease(panel: DataFrame) -> DataFrame:

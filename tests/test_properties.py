@@ -122,7 +122,7 @@ def test_dedupe_is_idempotent(panel, rows):
 
 
 def test_tiers_cover_every_entity_once(panel, rows):
-    tiers = pareto_tiers(panel, "entity", "v", (40, 80), "mean").collect()
+    tiers = pareto_tiers(panel, "entity", "v", (40, 80), "mean", digits=4).collect()
     assert sorted(t.entity for t in tiers) == sorted({r[1] for r in rows})
     assert sorted(t.counting for t in tiers) == list(range(1, len(tiers) + 1))
     assert sum(t.percent_in_total for t in tiers) == max(t.rolling_percent for t in tiers)

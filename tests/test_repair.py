@@ -18,10 +18,12 @@ def test_low_outliers(series, layout):
     assert low == {"E": [9, 9, 9, 7], "F": [1, 5], "G": [None, 30, 10.2, 10.2]}
 
 
-def test_a_third_of_a_mean_of_doubles_stays(series):
-    # The mean is 0.3 in exact arithmetic, but 0.30000000000000004 when summed.
-    panel = series({"E": [0.1, 0.1 + 0.2, 0.5]})
-    assert by_entity(replace_low_outliers(panel, "entity", {"v": 2}))["E"][0] == 0.1
+def test_comparison_with_a_third_of_the_mean_is_strict_and_exact(series, layout):
+    # As doubles, 2.1 / 3 is above 0.7, and 0.1 + 0.3 + 0.5 depends on the order.
+    panel = series({"E": [0.7, 3.5], "F": [0.1, 0.3, 0.5], "G": [0.1, 0.30000000000000004, 0.5], "H": [0.6999999999999999, 3.5]})
+    got = by_entity(replace_low_outliers(panel, "entity", {"v": 2}))
+    assert got["E"][0] == 0.7 and got["F"][0] == 0.1
+    assert got["G"][0] == 0.3 and got["H"][0] == 2.1
 
 
 def test_out_of_range(series, layout):

