@@ -20,7 +20,10 @@ LINES = f"""
 docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, source, text, i, s[i] AS line, lower(array_to_string({words("s[i]")}, ' ')) AS norm
   FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS s,
-    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)),
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs))"""
+
+# Equal texts of one source count once.
+TEXTS = """
 hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM docs GROUP BY source),
 counts AS (SELECT source, norm, count(DISTINCT text) AS n FROM lines WHERE norm <> '' GROUP BY source, norm)"""
 
@@ -31,7 +34,7 @@ def often(share: float, at_least: int) -> str:
 
 
 LINE_DEDUP = f"""
-WITH {LINES}, {often(0.1, 5)},
+WITH {LINES}, {TEXTS}, {often(0.1, 5)},
 marked AS (SELECT l.*, o.norm IS NOT NULL AS gone FROM lines l LEFT JOIN often o
   ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
@@ -39,8 +42,28 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# Texts of one source whose sets of five-word windows have a similarity of 0.8, and all they reach, count as one.
+COPY_CLASSES = f"""
+numbered AS (SELECT source, text, row_number() OVER () AS t FROM (SELECT DISTINCT source, text FROM docs)),
+split AS (SELECT t, source, {words("text")} AS w FROM numbered),
+fives AS (SELECT DISTINCT t, source, array_to_string(w[p:p + 4], ' ') AS five FROM (
+  SELECT t, source, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM split WHERE len(w) > 0)),
+widths AS (SELECT t, count(*) AS n FROM fives GROUP BY t),
+common AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM fives a JOIN fives b
+  ON a.five = b.five AND a.source IS NOT DISTINCT FROM b.source AND a.t < b.t GROUP BY ALL),
+alike AS (SELECT a, b FROM common c JOIN widths x ON c.a = x.t JOIN widths y ON c.b = y.t
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+both_ways AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reach AS (SELECT t AS a, t AS b FROM numbered
+  UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+classes AS (SELECT source, text, min(b) AS class FROM numbered n JOIN reach r ON n.t = r.a GROUP BY source, text),
+classed AS (SELECT l.source, l.norm, class FROM lines l JOIN classes c
+  ON l.source IS NOT DISTINCT FROM c.source AND l.text = c.text WHERE norm <> ''),
+hosts AS (SELECT source, count(DISTINCT class) AS n_docs FROM classes GROUP BY source),
+counts AS (SELECT source, norm, count(DISTINCT class) AS n FROM classed GROUP BY source, norm)"""
+
 QUALITY_RULES = f"""
-WITH {LINES}, {often(0.1, 10)},
+WITH RECURSIVE {LINES}, {COPY_CLASSES}, {often(0.1, 10)},
 texts AS (SELECT doc_id, text, {words("text")} AS w FROM docs),
 starts AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM texts WHERE len(w) > 4),
 windows AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS five FROM starts),
@@ -206,7 +229,8 @@ blocks AS (SELECT doc_id, FALSE AS paragraph, unnest(s) AS block, generate_subsc
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs)
   UNION ALL SELECT doc_id, TRUE, unnest(s), generate_subscripts(s, 1)
   FROM (SELECT doc_id, string_split_regex(text, '
-[ 	-]*
+[ 	-
+]*
 ') AS s FROM docs)),
 block_words AS (SELECT DISTINCT doc_id, paragraph, b, unnest({licence_words("block")}) AS word FROM blocks),
 contained AS (SELECT doc_id, label, count(*) / any_value(size) AS part

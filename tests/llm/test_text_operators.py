@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from panelweave.llm import bag_minhash, byte_bpe, embedding_tiles, mixing, quality_gam, secret_scan, training_order
 from panelweave.llm.components import components
 from panelweave.llm.line_dedup import drop_boilerplate_lines, without_boilerplate
+from panelweave.llm.oracle import ORACLE
 from panelweave.llm.quality_rules import keep_good, quality_rules
 from panelweave.llm.url_templates import judge_urls
 
@@ -140,6 +142,20 @@ def test_groups_of_near_copies_are_not_depleted_by_themselves(spark):
     assert all(left[i] == texts[i] for i in range(20)) and all("every page" not in left[i] for i in range(20, 32))
 
 
+@pytest.mark.parametrize("head", ["", "Its own first line of text here number {}\n"])
+def test_quality_rules_and_their_sql_count_near_copies_alike(spark, head):
+    texts = near_copy_host(random.Random(15))
+    # A head of its own for each copy, of a kind with no other text.
+    texts = [head.format(i) + t if i < 20 else t for i, t in enumerate(texts)]
+    names = ("kept", "n_frequent_words", "n_words", "base_failed")
+    rows = {r.row.doc_id: tuple(r[c] for c in names) for r in quality_rules(documents(spark, texts)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 's')", list(enumerate(texts)))
+    sql = con.execute(f"SELECT doc_id, {', '.join(names)} FROM ({ORACLE['op8_quality_rules']})").fetchall()
+    assert {r[0]: tuple(r[1:]) for r in sql} == rows
+
+
 def test_boilerplate_lines_go_and_exact_copies_do_not_count(spark):
     rng = random.Random(6)
     pages = [some_words(rng, 12) + "\nAll  rights RESERVED\n" + some_words(rng, 9) for _ in range(6)]
