@@ -68,6 +68,10 @@ def packed_sequences(
     in the sequence, in order), n_tokens, tokens (binary, compressed; ``n_tokens`` ids of two bytes).
     Sequences are filled across texts; only the last of a part may be shorter. A worker holds one sequence and a few million
     characters of text at a time.
+
+    A NULL or empty text is the token ``end`` alone, so its document has a place too; a text longer than a sequence goes on in
+    the next ones. NULL and repeated ids are listed as they come, repeated rows are packed as often. An empty table
+    gives no sequences. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,8 @@ def write_training_shards(
 
     ``sequences`` must be a written table: its rows number the slots, so a second reading must see
     the same ones. Parts are numbered by running counts, one row per part. Sequences move once, to contiguous
-    ranges of slots; a task holds one shard.
+    ranges of slots; a task holds one shard. No sequences give no shards and an empty index; equal sequences have
+    slots of their own.
     """
     counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -379,6 +379,49 @@ def test_permutation_and_shards_round_trip(spark, tokenizer, tmp_path):
     assert sorted(r.slot for r in later) == list(range(11, total))
 
 
+def plain_slot(place, count, key):
+    """The slot of one place by the Feistel network, in Python's numbers."""
+    every = 2**64 - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & every
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & every
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & every
+        return x ^ (x >> 31)
+
+    half = 1
+    while 4**half < count:
+        half += 1
+    while True:
+        left, right = divmod(place, 2**half)
+        for turn in range(4):
+            left, right = right, left ^ (mix(right ^ mix((key + turn) & every)) % 2**half)
+        place = left * 2**half + right
+        if place < count:
+            return place
+
+
+def test_slot_of_every_sequence_and_awkward_rows_in_training_order(spark, tmp_path):
+    for count in (1, 2, 5, 64, 65, 777):
+        slots = training_order.permuted(np.arange(count), count, 99).tolist()
+        assert slots == [plain_slot(i, count, 99) for i in range(count)]
+    long = " ".join(f"word{i}" for i in range(3000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, long, "en", "s", 1), (3, "a", "en", "s", 1), (3, "a", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    for name, some in (("rows", docs), ("none", docs.limit(0))):
+        sequences = training_order.packed_sequences(some, RANKS, public_tokenizers.PATTERN, 50256, length=64)
+        sequences.write.parquet(str(tmp_path / name))
+        written = spark.read.parquet(str(tmp_path / name))
+        index = training_order.write_training_shards(written, str(tmp_path / f"{name}-out"), 7, 50256, 64, 8).collect()
+        places = {r.number: r for r in written.collect()}
+        by_slot = {r.slot: r for r in index}
+        assert len(by_slot) == len(places) and (name == "none") == (not places)
+        for number, row in places.items():
+            found = by_slot[plain_slot(number, len(places), 7)]
+            assert (found.doc_ids, found.n_tokens) == (row.doc_ids, row.n_tokens)
+    assert sum(r.n_tokens for r in index) == 0
+
+
 def test_pipeline_stages_against_brute_force(spark, tokenizer):
     import corpus_pipeline
 
