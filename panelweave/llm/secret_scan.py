@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import random
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -30,12 +35,17 @@ CONTEXT_WORDS = (
     "secret", "session", "signature", "token", "apikey", "api_key", "access_key", "accesskey",
 )
 CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-DIGIT = re.compile(r"[0-9]")
-REACH = 80
+# Without other letters than hexadecimal digits.
+HEX_FORM = re.compile(r"[^g-zG-Z]+")
+# Runs of the characters of keys; "=" only pads, so that it parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2}")
+# Where a statement ends, and with it what its words announce.
+STATEMENT_END = re.compile(r"\n|[.!?;](?=\s)")
+# Code points on each side of a string that are compressed with it.
 AROUND = 2_000
-# Bytes a character that a string must add to its surroundings; random base64 has 0.75.
-LEAST_NOVELTY = 0.7
+# A string is novel if it adds so large a part of the bytes that random strings of its form add, the mean of so many.
+LEAST_NOVELTY = 0.8
+SCRAMBLED = 3
 
 # Identifiers common in public code, the base of the dictionary.
 IDENTIFIERS = (
@@ -62,11 +72,14 @@ IDENTIFIERS = (
     "throw timeout timestamp title token trace transaction transform true type undefined union unique "
     "update upload url user username utf-8 valid value variable vector verify version view void volume "
     "warning while width window worker write yaml yield"
-).encode()
+)
 
 
-def primed_compressor() -> zstandard.ZstdCompressor:
-    known = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def primed_compressor(strings: Iterable[str] = ()) -> zstandard.ZstdCompressor:
+    """A compressor that knows the identifiers of public code, and ``strings``."""
+    content = "\n".join([*strings, IDENTIFIERS]).encode()
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=3)
     return zstandard.ZstdCompressor(level=3, dict_data=known)
 
 
@@ -82,41 +95,94 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def scrambled(text: str, rng: random.Random) -> str:
+    """Random characters in the form of ``text``: each of the same kind, of hexadecimal ones if it has no others."""
+    lower = "abcdef" if HEX_FORM.fullmatch(text) else string.ascii_lowercase
+
+    def another(c: str) -> str:
+        if c.isdigit():
+            return rng.choice(string.digits)
+        if c.islower():
+            return rng.choice(lower)
+        return rng.choice(lower).upper() if c.isupper() else c
+
+    return "".join(map(another, text))
+
+
 def novelty(text: str, start: int, end: int, compressor: zstandard.ZstdCompressor) -> float:
-    """Bytes a character that ``text[start:end]`` adds to its surroundings when compressed."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    rest = len(compressor.compress((before + after).encode()))
-    return (len(compressor.compress((before + text[start:end] + after).encode())) - rest) / (end - start)
+    """Bytes that ``text[start:end]`` adds to its surroundings, as a part of those that random strings of its form add.
+
+    The surroundings are 2,000 code points on each side, without other copies of the string, so that a key given
+    twice does not explain itself. What lies further away explains a string through the compressor's dictionary.
+    Random strings take the place of the string in the same surroundings; they depend on the string alone.
+    """
+    found = text[start:end]
+    before = text[max(0, start - AROUND) : start].replace(found, "")
+    after = text[end : end + AROUND].replace(found, "")
+
+    def size(middle: str) -> int:
+        return len(compressor.compress((before + middle + after).encode()))
+
+    rng = random.Random(found)
+    rest = size("")
+    expected = sum(size(scrambled(found, rng)) - rest for _ in range(SCRAMBLED)) / SCRAMBLED
+    return (size(found) - rest) / max(1, expected)
 
 
-def novel_spans(
-    text: str, base: list[tuple[int, int, int]], compressor: zstandard.ZstdCompressor
-) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of strings just after a word that announces a secret, outside ``base``.
+def announced(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the candidates after an announcing word of the same statement, outside ``base``.
 
-    A candidate is a run of 16 or more of the characters of keys, with a digit, whose first 16 lie
-    within 80 characters after such a word, in the same line. It is reported if it adds 0.7 bytes a
-    character or more to its surroundings, with a dictionary of code identifiers.
+    A word within a base span announces only that. A statement ends with its line, or at ``.``, ``!``, ``?`` or ``;``
+    before white space; it may be of any length.
     """
-    found = []
-    reached = 0
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return before == 0 or reach[before - 1] <= start
+
+    found, done = [], 0
     for word in CONTEXT.finditer(text):
-        at = max(word.end(), reached)
-        for m in CANDIDATE.finditer(text, at, min(len(text), word.end() + REACH)):
-            # The run itself may go on beyond the reach.
-            end = CANDIDATE.match(text, m.start()).end()
-            if "\n" in text[word.end() : m.start()]:
-                break
-            reached = max(reached, end)
-            if not DIGIT.search(text, m.start(), end):
-                continue
-            if any(s < end and m.start() < e for s, _, e in base):
-                continue
-            if novelty(text, m.start(), end, compressor) >= LEAST_NOVELTY:
-                found.append((m.start(), 3, end))
+        if word.end() < done or not free(word.start(), word.end()):
+            continue
+        stop = STATEMENT_END.search(text, word.end())
+        done = stop.start() if stop else len(text)
+        for m in CANDIDATE.finditer(text, word.end(), done):
+            if free(m.start(), m.end()):
+                found.append((m.start(), m.end()))
     return found
 
 
+def without(text: str, strings: Iterable[str]) -> str:
+    """``text`` with a line end for each occurrence of one of ``strings``, the longest first, inside words too."""
+    search = ahocorasick.Automaton()
+    for found in strings:
+        search.add_word(found, len(found))
+    search.make_automaton()
+    rest, at = [], 0
+    for last, length in search.iter_long(text):
+        rest.append(text[at : last + 1 - length])
+        at = last + 1
+    return "\n".join([*rest, text[at:]])
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of strings that a word announces as secret and nothing explains, outside ``base``.
+
+    A candidate is a run of 16 or more of the characters of keys, whatever their kind, after an announcing word in the
+    same statement. It is reported if compressing it adds 80 % or more of the bytes that random strings of its form add
+    to its surroundings. The dictionary holds identifiers of public code and all other long strings of the
+    whole text. Work is in proportion to the text and to its candidates.
+    """
+    places = announced(text, base)
+    if not places:
+        return []
+    others = CANDIDATE.findall(without(text, {text[s:e] for s, e in places}))
+    compressor = primed_compressor(dict.fromkeys(others))
+    return [(s, 3, e) for s, e in places if novelty(text, s, e, compressor) >= LEAST_NOVELTY]
+
+
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of every row's whole text: doc_id, spans (array of struct kind, start, end).
 
@@ -128,13 +194,12 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = primed_compressor()
         for batch in batches:
             spans = []
             for value in batch.column(1):
                 content = value.as_py()
                 base = base_spans(content)
-                every = sorted(base + novel_spans(content, base, compressor))
+                every = sorted(base + novel_spans(content, base))
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
             column = pa.array(
                 spans,

@@ -4,12 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import string
+import uuid
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from panelweave.llm import bag_minhash, byte_bpe, embedding_tiles, mixing, quality_gam, secret_scan, training_order
@@ -297,6 +300,82 @@ def test_secrets_by_plain_patterns_and_by_novelty(spark):
     assert rows[2] == [("novel", at, at + len(key))] and rows[3] == [] and rows[4] == []
 
 
+ORDINARY = (
+    "The session ended early. Every password of a user is kept by the settings page of the account\n"
+    "def read_token(session):\n    return session.current_connection.authorization_header_value\n"
+    "The library keeps a signature for each table, and private data never leaves the machine of its owner.\n"
+    "class CookieStore:\n    default_session_timeout = connection_settings.session_timeout_seconds\n"
+) * 3
+
+
+def novel_by_hand(text):
+    """The strings that the definition of novelty gives, recomputed step by step for a text without base spans."""
+    key = re.compile(r"[A-Za-z0-9+/][A-Za-z0-9+/_.-]{14,}[A-Za-z0-9+/_-]={0,2}")
+    places, at = set(), 0
+    for statement in re.split(r"(\n|[.!?;](?=\s))", text):
+        word = secret_scan.CONTEXT.search(statement)
+        if word:
+            places |= {(at + m.start(), at + m.end()) for m in key.finditer(statement, word.end())}
+        at += len(statement)
+    rest = text
+    for x in sorted({text[s:e] for s, e in places}, key=len, reverse=True):
+        rest = rest.replace(x, "\n")
+    known = [*dict.fromkeys(key.findall(rest)), secret_scan.IDENTIFIERS]
+    primed = zstandard.ZstdCompressionDict("\n".join(known).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=3)
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=primed).compress(x.encode()))
+    out = []
+    for s, e in sorted(places):
+        x = text[s:e]
+        around = [text[max(0, s - 2000) : s].replace(x, ""), text[e : e + 2000].replace(x, "")]
+        rng, sizes = random.Random(x), []
+        hexadecimal = not re.search("[g-zG-Z]", x)
+        for _ in range(3):
+            y = ""
+            for c in x:
+                kind = "0123456789" if c in string.digits else "abcdef" if hexadecimal else string.ascii_lowercase
+                other = rng.choice(kind) if c not in "+/_.-=" else c
+                y += other.upper() if c in string.ascii_uppercase else other
+            sizes.append(size(y.join(around)) - size("".join(around)))
+        if size(x.join(around)) - size("".join(around)) >= 0.8 * max(1, sum(sizes) / 3):
+            out.append(("novel", s, e))
+    return out
+
+
+def random_key(rng, kind, n):
+    if kind == "uuid":
+        return str(uuid.UUID(int=rng.getrandbits(128)))
+    return "".join(rng.choice(kind) for _ in range(n))
+
+
+def test_random_keys_are_found_once_and_twice_and_ordinary_text_is_not(spark):
+    rng = random.Random(8)
+    letters = string.ascii_letters
+    kinds = (letters + string.digits, letters, string.ascii_lowercase, string.ascii_uppercase + "234567", "0123456789ABCDEF", string.digits, "uuid")
+    keys = [random_key(rng, kind, 20 if kind == string.digits else n) for kind in kinds for n in (20, 32, 40, 64) for _ in range(10)]
+    far = " and then some more words" * 20
+    texts = [f"{ORDINARY}Authorization{far}: Bearer {k} of today\n{ORDINARY}cookie '{k}'\n{ORDINARY}" for k in keys]
+    rows = {r.doc_id: r.spans for r in secret_scan.find_secrets(documents(spark, [*texts, ORDINARY])).collect()}
+    assert rows.pop(len(keys)) == []
+    found = [[texts[i][s.start : s.end] for s in spans] for i, spans in sorted(rows.items())]
+    for at in range(0, len(keys), 40):
+        assert sum(f == [k, k] for f, k in zip(found[at : at + 40], keys[at : at + 40])) >= 38
+    for i in range(0, len(texts), 7):
+        assert [tuple(s) for s in rows[i]] == novel_by_hand(texts[i])
+
+
+def test_what_a_secret_announces_ends_with_its_statement_and_with_base_spans(spark):
+    key, other = "q7Zr0Tn4Wc9Yb2Kd8Lx5Vf1Hj6", "Xw3Pz8Gk1Rm6Dt0Bs5Nc9Ja2Le"
+    texts = [
+        f"no session. {key}", f"session\n{key}", f"token = '{key}' {other}", f"token = '{key}' session {other}",
+        f"session_{key}==, {other} " + "a" * 20,
+    ]
+    rows = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in secret_scan.find_secrets(documents(spark, texts)).collect()}
+    assert rows[0] == rows[1] == []
+    assert rows[2] == [("assign", f"token = '{key}")] and rows[3] == [*rows[2], ("novel", other)]
+    assert rows[4] == [("novel", f"{key}=="), ("novel", other)]
+
+
 def test_urls_by_rules_and_templates(spark):
     urls = [
         "http://A.example.COM/en/1?x", "https://www.example.com/en/2#t", "http://x.com", "http://x.com/a", "ftp://n.net/fr/1",
