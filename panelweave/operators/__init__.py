@@ -9,6 +9,7 @@ from panelweave.operators.fill import (
     fill_previous_category,
     group_means,
 )
+from panelweave.operators.layout import store_by_entity
 from panelweave.operators.prepare import (
     apply_corrections,
     blank_to_null,
@@ -65,5 +66,6 @@ __all__ = [
     "rolling_mean",
     "rows_at_extremes",
     "running_totals",
+    "store_by_entity",
     "trend_slope",
 ]

@@ -289,6 +289,13 @@ def trend_slope_lines(spark, folder):
     return rounded(ops.trend_slope(lines_by_year(spark, folder), ENTITY, PERIOD, "m1"), 12)
 
 
+def stored_panel_profile(spark, folder):
+    """Figures and trend of each entity, both from one panel stored by entity."""
+    panel = ops.store_by_entity(customer_year(spark, folder), ENTITY, PERIOD, ID)
+    described = ops.describe_by_group(panel, ENTITY, "m1")
+    return rounded(described.join(ops.trend_slope(panel, ENTITY, PERIOD, "m1"), ENTITY))
+
+
 def latest_group_mean(spark, folder):
     return rounded(ops.latest_group_mean(customer_year(spark, folder), "grp", PERIOD, "m1"))
 
@@ -537,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "trend_slope_with_group": trend_slope_with_group,
     "trend_slope_pairwise": trend_slope_pairwise,
     "trend_slope_lines": trend_slope_lines,
+    "stored_panel_profile": stored_panel_profile,
     "latest_group_mean": latest_group_mean,
     "pearson_global": pearson_global,
     "pearson_pairwise": pearson_pairwise,

@@ -11,6 +11,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelweave.operators import store_by_entity
 from panelweave.plans import health
 from panelweave.sources import read_raw, release, scope, write_panel
 
@@ -36,9 +37,12 @@ def write_report(
         questions["life_expectancy_by_region"] = lambda panel: health.life_expectancy_by_region(
             panel, regions
         )
-    for name, ask in questions.items():
-        with scope(spark):
-            write_panel(ask(panel), f"{out}/{name}")
+    with scope(spark):
+        # All questions read one copy of the panel that needs no shuffle by entity.
+        panel = store_by_entity(panel, health.ENTITY, health.PERIOD, health.KEY)
+        for name, ask in questions.items():
+            with scope(spark):
+                write_panel(ask(panel), f"{out}/{name}")
     return ["staging", "audit", "cast_losses", "missing_gdp", "panel", *questions]
 
 

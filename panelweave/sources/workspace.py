@@ -10,13 +10,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+# Folders of bucketed tables, and the names by which the catalog knows them.
+_bucketed: dict[str, str] = {}
 _scope: ContextVar[str] = ContextVar("scope", default="")
 
 
@@ -55,6 +57,30 @@ def pin(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_bucketed(
+    df: DataFrame, by: Sequence[str], order: Sequence[str] = (), buckets: int | None = None, label: str = "panel"
+) -> DataFrame:
+    """Like :func:`pin`, in ``buckets`` by the hash of ``by``, each file sorted by ``by`` and ``order``.
+
+    The catalog keeps the layout: windows over ``by``, groups by ``by`` or more, and joins on exactly ``by`` need no
+    exchange of the rows. Rows that are not partitioned by the same hash and number beforehand make one file for each
+    task and bucket. ``buckets`` defaults to ``spark.sql.shuffle.partitions``; joins without an exchange need the same
+    number on both sides.
+    """
+    spark = df.sparkSession
+    buckets = buckets or default_buckets(spark)
+    unique = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}{_scope.get()}/{unique}"
+    writer = df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by, *order)
+    writer.option("path", path).saveAsTable(f"panelweave_{unique}")
+    _bucketed[path] = f"panelweave_{unique}"
+    return spark.table(_bucketed[path])
+
+
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, name: str | None = None, persist: bool = False) -> DataFrame:
     """Snapshot ``df`` for later statements, optionally as the temporary view ``name``.
 
@@ -81,6 +107,8 @@ def release(spark: SparkSession) -> None:
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
+    for path in [path for path in _bucketed if path.startswith(f"{folder}/")]:
+        spark.sql(f"DROP TABLE IF EXISTS {_bucketed.pop(path)}")
     # Spark's Python side has no call to delete files on the cluster's storage.
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
