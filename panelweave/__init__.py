@@ -7,6 +7,7 @@ from panelweave.sources import (
     materialize,
     pin,
     read_raw,
+    read_with_quarantine,
     release,
     scope,
     write_panel,
@@ -18,6 +19,7 @@ __all__ = [
     "materialize",
     "pin",
     "read_raw",
+    "read_with_quarantine",
     "release",
     "scope",
     "write_panel",

@@ -6,6 +6,7 @@ the order of addition.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ from panelweave.plans.samples import (
     table,
     user_day,
 )
-from panelweave.sources import drop_materialized, materialize, pin, read_raw
+from panelweave.sources import drop_materialized, materialize, pin, read_raw, read_with_quarantine
+from panelweave.sources.workspace import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +92,20 @@ def read_raw_text(spark, folder):
     return read_raw(spark, f"{folder}/orders.parquet", columns, fmt="parquet")
 
 
+def read_csv_quarantine(spark, folder):
+    """Orders from csv, of which some lines have a field too many and some one too few, and the lines set aside."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    orders = table(spark, folder, "orders")
+    more, fewer = F.col("o_orderkey") % 97 == 0, F.col("o_orderkey") % 89 == 0
+    fields = [F.col("o_orderkey"), F.col("o_custkey"), F.when(~fewer, F.col("o_orderstatus")), F.when(more, F.lit("x"))]
+    lines = F.concat_ws(",", *[f.cast("string") for f in fields])
+    paths = [f"{shared_folder(spark)}/{part}-{uuid.uuid4().hex}" for part in ("csv", "aside")]
+    orders.select(lines.alias("line")).write.text(paths[0])
+    good = read_with_quarantine(spark, paths[0], columns, paths[1], orders.count(), header=False)
+    good = good.select(F.concat_ws(",", *columns).alias("line"), F.lit(False).alias("set_aside"))
+    return good.union(spark.read.parquet(paths[1]).select("line", F.lit(True)))
+
+
 def rename_columns(spark, folder):
     names = {"o_orderkey": ID, "o_custkey": ENTITY, "o_orderstatus": "o_orderkey"}
     renamed = ops.rename_columns(table(spark, folder, "orders"), names)
@@ -512,6 +528,7 @@ def health_life_expectancy_by_region(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "read_raw_text": read_raw_text,
+    "read_csv_quarantine": read_csv_quarantine,
     "rename_columns": rename_columns,
     "blank_to_null_cast": blank_to_null_cast,
     "cast_failures": cast_failures,

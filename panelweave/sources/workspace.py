@@ -49,11 +49,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _delete(spark, folder)
 
 
-def pin(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def pin(df: DataFrame, label: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table. Partition only by columns with few values."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}{_scope.get()}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
