@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tiles of about 1,024 texts; that is the only work that grows with the square of a group.
 
     NULL and empty texts, and texts without words, link with nothing, not with each other. Rows
-    with the same id are one document and get one class; a row without id gets a NULL class and is
+    with the same id are one document and get one class: what is near any of its texts is near the document. A row without id gets a NULL class and is
     kept. An empty table gives an empty table; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), shared.text_of(text).alias("text"))
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = pin(buckets.join(shared_buckets, "bucket").select("bucket", "node", "head"), "buckets")
 
     first = buckets.filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    first = _similar(worded, signed, first.distinct())
+    first = _similar(worded, signed, first.distinct()).union(_same_ids(digests, nodes))
     classes = components(first)
     second = _between_classes(buckets, classes, worded, signed)
     if not second.isEmpty():
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = nodes.join(classes, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("root")
     )
-    # An id with several texts belongs to all their classes: the smallest stands for them.
+    # The texts of an id are in one class, so any of them names it.
     found = pin(found, "classes")
     named = digests.join(found, "digest").groupBy("doc_id").agg(F.min("root").alias("root"))
     named = rows.select("doc_id").join(named, "doc_id", "left")
@@ -347,6 +347,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return named.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _same_ids(digests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of each id's texts, where it has several; written."""
+    several = digests.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = pin(several.select("doc_id"), "several")
+    owned = digests.join(several, "doc_id", "left_semi").join(nodes, "digest").select("doc_id", "node").distinct()
+    owned = pin(owned, "owned")
+    least = owned.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return pin(owned.join(least, "doc_id").select(F.col("node").alias("a"), "b").filter("a != b"), "same_ids")
+
+
 def _between_classes(
     buckets: DataFrame, classes: DataFrame, texts: DataFrame, signed: DataFrame
 ) -> DataFrame:
@@ -377,7 +387,7 @@ def _between_classes(
 def _tile_links(large: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between classes in large buckets (bucket, node, kind, largest)."""
     ids = pin(large.select(F.col("node").alias("doc_id")).distinct(), "ids")
-    bag = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    bag = _texts_of(texts, ids)
     bag = bag.select("doc_id", word_hashes(F.col("text")).alias("words"))
     bag = pin(shared.map_arrow(bag, _items, "node long, items array<long>"), "items")
     outside = F.col("kind") != F.col("largest")
@@ -404,15 +414,20 @@ def _tile_links(large: DataFrame, texts: DataFrame) -> DataFrame:
     return both.groupBy("bucket", "x", "y").applyInArrow(_tiles, "a long, b long")
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every different text of the ids: doc_id, text."""
+    needed = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.md5("text").alias("digest"))
+    return needed.agg(F.any_value("text").alias("text")).drop("digest")
+
+
 def _similar(texts: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those at or above the similarity; written."""
     near = pairs.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b")
     near = shared.map_arrow(near.select("a", "b", "x", "y"), _agree, "a long, b long")
-    near = pin(near, "candidates")
+    near = pin(near.distinct(), "candidates")
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b"))
     # Written, so that Spark knows whether the ids are few enough to broadcast instead of the texts.
-    needed = texts.join(pin(ids.distinct(), "ids"), "doc_id", "left_semi")
-    needed = needed.groupBy("doc_id").agg(F.min("text").alias("text"))
+    needed = _texts_of(texts, pin(ids.distinct(), "ids"))
     needed = pin(needed.select("doc_id", word_hashes(F.col("text")).alias("words")), "words")
     both = near.join(needed.toDF("a", "wa"), "a").join(needed.toDF("b", "wb"), "b")
     both = both.select("a", "b", "wa", "wb")

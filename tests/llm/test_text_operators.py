@@ -210,6 +210,25 @@ def classes_by_hand(texts):
     return [find(i) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("small_bucket", [bag_minhash.SMALL_BUCKET, 0])
+def test_every_text_of_an_id_counts(spark, monkeypatch, small_bucket):
+    monkeypatch.setattr(bag_minhash, "SMALL_BUCKET", small_bucket)
+    rng = random.Random(12)
+    base = [some_words(rng, 120) for _ in range(4)]
+    near = [text + " one more word" for text in base]
+    rows = [
+        (1, base[0]), (1, base[1]), (2, near[0]), (3, near[1]),
+        # Between its classes, an id whose own texts also belong to smaller ids.
+        (9, base[2]), (9, base[3]), (4, base[2]), (8, near[3]), (9, base[3]),
+        (20, some_words(rng, 120)), (21, some_words(rng, 120)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {(r.doc_id, r.class_id, r.kept) for r in bag_minhash.near_duplicates(docs).collect()}
+    assert classes == {
+        (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (8, 4, False), (9, 4, False), (20, 20, True), (21, 21, True),
+    }
+
+
 @pytest.mark.parametrize("small_bucket", [1000, 0])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, small_bucket):
     monkeypatch.setattr(bag_minhash, "SMALL_BUCKET", small_bucket)
