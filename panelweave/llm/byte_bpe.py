@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -53,6 +54,7 @@ class ByteBPE:
         for token, rank in reachable.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.reachable = reachable if len(reachable) < len(ranks) else ranks
         self.longest = max(map(len, reachable))
         self.shorter = {
             rank: next((reachable[t] for n in range(len(token) - 1, 0, -1) if (t := token[:n]) in reachable), None)
@@ -123,15 +125,15 @@ class ByteBPE:
             else:
                 out.append(token)
                 at += size[token]
-                token = self._longest(text, at)
+                token = self._longest(piece, text, at)
         return out
 
-    def _longest(self, text: str, at: int) -> int | None:
-        """The longest token that ``text`` has at a place; None at its end."""
+    def _longest(self, piece: bytes, text: str, at: int) -> int | None:
+        """The longest token that ``piece``, as ``text`` in Latin-1, has at a place; None at its end."""
         n = self.automaton.longest_prefix(text[at : at + self.longest])
-        while n and text[at : at + n] not in self.automaton:
+        while n and (token := self.reachable.get(piece[at : at + n])) is None:
             n -= 1
-        return self.automaton.get(text[at : at + n]) if n else None
+        return token if n else None
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -154,25 +156,35 @@ class Remembered(dict):
         return result
 
 
-def python_pattern(pattern: str) -> re.Pattern:
-    r"""``pattern`` for Python's ``re``, with \p{L}, \p{N} and \s as the tokenizer library has them.
-
-    The library's own Unicode tables decide which characters these are, so that texts are cut as
-    there whatever the version of Python's tables.
-    """
+@lru_cache(1)
+def _class_spans() -> dict[str, list[tuple[int, int]]]:
+    r"""First and last code points of the ranges of \p{L}, \p{N} and \s as the tokenizer library has them."""
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     single = {bytes([b]): b for b in range(256)}
     classes = {}
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         found = tiktoken.Encoding("class", pat_str=name + "+", mergeable_ranks=single, special_tokens={})
         codes = [ord(c) for c in bytes(found.encode_ordinary(every)).decode()]
-        spans: list[list[int]] = []
+        spans: list[tuple[int, int]] = []
         for c in codes:
             if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
+                spans[-1] = spans[-1][0], c
             else:
-                spans.append([c, c])
-        classes[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+                spans.append((c, c))
+        classes[name] = spans
+    return classes
+
+
+def python_pattern(pattern: str, last: int = 0x10FFFF) -> re.Pattern:
+    r"""``pattern`` for Python's ``re``, with \p{L}, \p{N} and \s as the tokenizer library has them.
+
+    The library's own Unicode tables decide which characters these are, so that texts are cut as
+    there whatever the version of Python's tables. The pattern is for texts of code points up to ``last``.
+    """
+    classes = {
+        name: "".join(f"\\U{a:08x}-\\U{min(b, last):08x}" for a, b in spans if a <= last)
+        for name, spans in _class_spans().items()
+    }
     # A class inside brackets stands as it is, one outside gets brackets of its own.
     pattern = pattern.replace(r"\S", "[^" + classes[r"\s"] + "]")
     out, inside = [], False
@@ -187,15 +199,26 @@ def python_pattern(pattern: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """Function that gives all matches of ``pattern`` in a text.
+
+    Python's ``re`` has a table of a class up to U+FFFF and tries the ranges beyond one by one, for every
+    character that is not in the class. So texts without characters beyond are cut by a pattern without those ranges.
+    """
+    short, whole = python_pattern(pattern, 0xFFFF), python_pattern(pattern)
+    beyond = re.compile("[\U00010000-\U0010ffff]")
+    return lambda text: (whole if beyond.search(text) else short).findall(text)
+
+
 @lru_cache(2)
-def _encoder(path: str, pattern: str) -> tuple[ByteBPE, re.Pattern, Remembered]:
-    """Encoder, pattern, and ids of a piece as four bytes each; built once in each Python worker."""
+def _encoder(path: str, pattern: str) -> tuple[ByteBPE, Callable[[str], list[str]], Remembered]:
+    """Encoder, cutter, and ids of a piece as four bytes each; built once in each Python worker."""
     bpe = ByteBPE(read_ranks(path))
 
     def packed(piece: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in bpe.encode_piece(piece.encode()))
+        return array("i", bpe.encode_piece(piece.encode())).tobytes()
 
-    return bpe, python_pattern(pattern), Remembered(packed)
+    return bpe, cutter(pattern), Remembered(packed)
 
 
 @lru_cache(2)
@@ -244,7 +267,7 @@ def encode(
         try:
             for batch in batches:
                 for part in _slices(batch, batch.column(2).to_pylist(), BATCH_CHARS):
-                    ids = [b"".join(map(packed, cut.findall(t.as_py()))) for t in part.column(1)]
+                    ids = [b"".join(map(packed, cut(t.as_py()))) for t in part.column(1)]
                     columns = [part.column(0), _lists(ids, pa.int32())]
                     if decoded:
                         columns.append(_decoded(columns[1], bpe.bytes_of))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import timeit
 import uuid
 
 import duckdb
@@ -303,6 +304,26 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert bytes(r.decoded).decode() == texts[r.doc_id]
 
 
+def test_texts_are_cut_as_by_the_library_and_faster_without_characters_beyond_ffff(tokenizer):
+    cut, whole = byte_bpe.cutter(public_tokenizers.PATTERN), byte_bpe.python_pattern(public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    plane = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    beyond = [chr(c) for c in range(0x10000, 0x110000)]
+    rng.shuffle(plane)
+    texts = ["".join(plane), *(p + c for p in ("a", "1", "-", " ") for c in ("\uffff", "\U00010000", "\U0010ffff"))]
+    texts += ["".join(rng.sample(plane, 50) + rng.sample(beyond, k)) for k in (0, 0, 1, 50) for _ in range(50)]
+    encoder = byte_bpe.ByteBPE(tokenizer._mergeable_ranks)
+    for text in texts:
+        assert cut(text) == whole.findall(text)
+        assert [i for p in cut(text) for i in encoder.encode_piece(p.encode())] == tokenizer.encode_ordinary(text)
+    plain = "words, and (other) marks; 12 " * 2000
+
+    def seconds(function):
+        return min(timeit.repeat(lambda: function(plain), number=1, repeat=5))
+
+    assert seconds(cut) < 0.6 * seconds(whole.findall)
+
+
 def test_secrets_by_plain_patterns_and_by_novelty(spark):
     key = "q7Zr0Tn4Wc9Yb2Kd8Lx5Vf1Hj6"
     texts = [
