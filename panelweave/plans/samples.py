@@ -65,11 +65,15 @@ def _dense(entities: DataFrame, periods: DataFrame, cells: DataFrame) -> DataFra
 
 
 def _by_period(entities: DataFrame, periods: DataFrame) -> DataFrame:
+    """Entities with one row for each period; to be joined by sorting.
+
+    The planner takes these rows for as few bytes as the entities' files have, and would broadcast millions of them.
+    """
     first = periods.agg(F.min("period")).scalar()
     last = periods.agg(F.max("period")).scalar()
     spine = entities.withColumn("_first", first).withColumn("_last", last)
     period = F.explode(F.sequence("_first", "_last")).alias("period")
-    return spine.select(*entities.columns, period)
+    return spine.select(*entities.columns, period).hint("merge")
 
 
 def health_staging(spark: SparkSession, folder: str) -> DataFrame:

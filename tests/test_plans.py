@@ -9,7 +9,7 @@ import pytest
 from panelweave import dedupe_keyed, pearson, rows_at_extremes
 from panelweave.plans import health
 from panelweave.plans.catalog import orders_by_year
-from panelweave.plans.samples import health_staging, table
+from panelweave.plans.samples import customer_year, health_staging, table, user_day
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -61,3 +61,13 @@ def test_extremes_use_one_aggregate(spark):
     text = plan(result)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert "l_comment" not in text and "l_shipdate" not in text
+
+
+def test_entities_by_period_are_not_broadcast(spark):
+    """Their number is far above what the size of the entities' file tells the planner."""
+    for rows in (customer_year(spark, FOLDER), user_day(spark, FOLDER)):
+        for asked in (rows, rows.filter("m1 IS NOT NULL")):
+            text = plan(asked, "simple")
+            assert "SortMergeJoin [entity" in text and "BroadcastExchange" not in text
+    text = plan(health_staging(spark, FOLDER), "simple")
+    assert "SortMergeJoin [country" in text and "BroadcastHashJoin [country" not in text
